@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, packing, secret_scan, tokens
+from . import chat, langid, minhash, mixing, packing, secret_scan, tokens
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_chat_formatting(spark, sf_dir):
     return chat.digest_conversations(chat.read_turns(chat.format_turns(turns.union(more))))
 
 
+def op2_near_duplicates(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -37,5 +41,5 @@ def op10_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_best_fit_packing, op6_language_id, op8_secret_scan, op9_token_counts, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_near_duplicates, op3_best_fit_packing, op6_language_id, op8_secret_scan, op9_token_counts, op10_source_mixing)}
 ORACLES = {"op1_chat_formatting": chat.ORACLE, "op10_source_mixing": mixing.ORACLE}
