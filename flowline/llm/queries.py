@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, langid, minhash, mixing, packing, secret_scan, tokens
+from . import ann, chat, langid, minhash, mixing, neardup_vec, packing, secret_scan, tokens
 from .common import table
 
 
@@ -23,10 +23,18 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_neighbours(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_vector_near_duplicates(spark, sf_dir):
+    return neardup_vec.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_secret_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return secret_scan.span_digests(secret_scan.find_secrets(docs, secret_scan.train(docs)))
@@ -41,5 +49,5 @@ def op10_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_near_duplicates, op3_best_fit_packing, op6_language_id, op8_secret_scan, op9_token_counts, op10_source_mixing)}
-ORACLES = {"op1_chat_formatting": chat.ORACLE, "op10_source_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_near_duplicates, op3_best_fit_packing, op4_nearest_neighbours, op6_language_id, op7_vector_near_duplicates, op8_secret_scan, op9_token_counts, op10_source_mixing)}
+ORACLES = {"op1_chat_formatting": chat.ORACLE, "op4_nearest_neighbours": ann.ORACLE, "op7_vector_near_duplicates": neardup_vec.ORACLE, "op10_source_mixing": mixing.ORACLE}
