@@ -94,7 +94,7 @@ class Index:
                 shard, held = shard + int(self.share[cell]), 0
 
 
-def build(rows: DataFrame, sample: int = 20_000) -> tuple[Index, DataFrame] | None:
+def build(rows: DataFrame, centroids: int = 64, sample: int = 20_000) -> tuple[Index, DataFrame] | None:
     """The index of (vec_id, v) rows, and the entries: vec_id, v, cell."""
     total = rows.count()
     if not total:
@@ -104,7 +104,7 @@ def build(rows: DataFrame, sample: int = 20_000) -> tuple[Index, DataFrame] | No
         some = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("fit")), F.lit(1 << 30)) < int((1 << 30) * sample / total)).select("v")
     fit = matrix(pa.chunked_array([some.toArrow().column("v").combine_chunks()]).combine_chunks())
     half = fit.shape[1] // 2
-    k = int(min(MOST, len(fit), max(8, 4 * round((total / 64) ** 0.5 / 2))))
+    k = min(MOST, len(fit), centroids)
     index = Index((k_means(fit[:, :half], k), k_means(fit[:, half:], k)), half)
     books = rows.sparkSession.sparkContext.broadcast(index)  # 2 * K centroids
 
@@ -209,7 +209,7 @@ def _rank(top: int):
     return run
 
 
-def search(embeddings: DataFrame, is_query, top: int = 20, probe: float = 0.4, least: int = 2048) -> DataFrame:
+def search(embeddings: DataFrame, is_query, top: int = 20, probe: float = 0.5, least: int = 2048) -> DataFrame:
     """Per query (rows where the column ``is_query`` holds): query_id, rank, vec_id, score."""
     spark = embeddings.sparkSession
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
