@@ -21,6 +21,7 @@ like others. An empty table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from array import array
 from itertools import chain
@@ -32,26 +33,70 @@ from pyspark.sql import functions as F
 
 from .common import slices, spill
 
+#: Letters that only lower-casing changes, and punctuation that the tokenizer cuts from letters before it.
+STEM, TAIL = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+"), ".,;:!?%$&*#|"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds(dict):
-    """Packed ids by word. The tokenizer drops white space and never joins what is on its two sides, so a text's ids are its words' ids in turn."""
+    """Packed ids by word. The tokenizer drops white space and never joins what is on its two sides, so a text's ids are its words' ids in turn.
 
-    def __init__(self, model: str, most: int = 600_000):
+    Most new words are Latin letters with some punctuation behind them. The tokenizer's pattern cuts between the two,
+    and lower-casing is all its normalisation does to such letters. Their stems are encoded many at a time, without
+    normalisation and with white space as the only cut; the last id of a stem, and no other, ends a word.
+    """
+
+    def __init__(self, model: str, most: int = 400_000):
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.most, self.library = most, Tokenizer.from_file(public_tokenizers.path(model))
+        self.plain = Tokenizer.from_file(public_tokenizers.path(model))
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
+        for token, i in self.library.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.stems: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn_stems(self, stems: set[str]) -> None:
+        new = list(stems.difference(self.stems.keys()))
+        if len(self.stems) + len(new) > self.most:
+            self.stems.clear()
+            new = list(stems)
+        for i in range(0, len(new), 1000):
+            some = new[i : i + 1000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(cuts) == len(some):
+                flat = ids.tobytes()
+                self.stems.update((w, flat[a:b]) for w, a, b in zip(some, [0, *cuts], cuts, strict=False))
+            else:
+                self.stems.update(zip(some, self._whole(some), strict=True))
 
     def learn(self, words: set[str]) -> None:
         new = words.difference(self.keys())
         if len(self) + len(new) > self.most:
             self.clear()
             new = words
-        some = list(new)
-        for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            self[w] = array("I", e.ids).tobytes()
+        cut, rest = [], []
+        for w in new:
+            stem = w.lower().rstrip(TAIL)
+            if STEM.fullmatch(w, 0, len(stem)) and len(w) <= 64:
+                cut.append((w, stem, w[len(stem) :]))
+            else:
+                rest.append(w)
+        self._learn_stems({x[1] for x in cut})
+        tails = list({x[2] for x in cut}.difference(self.tails.keys()))
+        if len(self.tails) > 50_000:
+            self.tails, tails = {"": b""}, list({x[2] for x in cut})
+        self.tails.update(zip(tails, self._whole(tails), strict=True))
+        self.update((w, self.stems[a] + self.tails[b]) for w, a, b in cut)
+        self.update(zip(rest, self._whole(rest), strict=True))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         words = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
@@ -254,25 +299,30 @@ class Plan:
             self._fill(size, left, self.capacity, self.sequences - n, n)
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, groups: int = 96, salts: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, groups: int = 96, salts: int = 256) -> DataFrame:
     """Pieces with a ``length`` of 1 to ``capacity``, each with its sequence_id and offset.
 
-    ``pieces`` is read twice, so it should be a written table. To the driver come at most capacity counts; broadcast
-    are the plan's runs (a few for each length) and at most capacity * salts rank offsets.
+    ``pieces`` is read three times, so it should be a written table. A length gets a share of ``salts`` parts as its
+    share of the pieces, one at least. To the driver come at most capacity + salts counts; what is broadcast are
+    those and the plan's runs, a few for each length.
     """
     spark = pieces.sparkSession
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("n"))
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    runs = Plan(histogram, capacity, groups).runs
-    plan = spark.createDataFrame(runs or [(0,) * 6], "r_length long, r_rank long, r_count long, r_sequence long, r_offset long, r_each long")
-    before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select(F.col("length").alias("b_length"), F.col("__salt").alias("b_salt"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("b_rank"))
+    histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, plan = sum(histogram.values()), Plan(histogram, capacity, groups)
+    parts = spark.createDataFrame([(s, -(-salts * n // total)) for s, n in histogram.items()] or [(0, 1)], "p_length long, p_parts int")
+    salted = pieces.join(F.broadcast(parts), F.col("length") == F.col("p_length"))
+    salted = salted.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("p_parts")).cast("int")).select(*pieces.columns, "__salt")
+    counts = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("n")).collect()
+    before, base = dict.fromkeys(histogram, 0), []
+    for r in sorted(counts, key=lambda r: (r.length, r["__salt"])):
+        base.append((r.length, r["__salt"], before[r.length]))
+        before[r.length] += r.n
+    base = spark.createDataFrame(base or [(0, 0, 0)], "b_length long, b_salt int, b_rank long")
+    runs = spark.createDataFrame(plan.runs or [(0,) * 6], "r_length long, r_rank long, r_count long, r_sequence long, r_offset long, r_each long")
     place = F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "piece")) - 1
     ranked = salted.withColumn("__place", place).join(F.broadcast(base), (F.col("length") == F.col("b_length")) & (F.col("__salt") == F.col("b_salt")))
-    ranked = ranked.withColumn("__rank", F.col("__place") + F.col("b_rank"))
-    inside = F.col("__rank") - F.col("r_rank")
-    found = ranked.join(F.broadcast(plan), (F.col("length") == F.col("r_length")) & (inside >= 0) & (inside < F.col("r_count")))
+    inside = F.col("__place") + F.col("b_rank") - F.col("r_rank")
+    found = ranked.join(F.broadcast(runs), (F.col("length") == F.col("r_length")) & (inside >= 0) & (inside < F.col("r_count")))
     return found.select(
         *pieces.columns,
         (F.col("r_sequence") + F.floor(inside / F.col("r_each"))).cast("long").alias("sequence_id"),
