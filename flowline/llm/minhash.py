@@ -100,17 +100,27 @@ def sketches(labelled: np.ndarray) -> np.ndarray:
     return mix((labelled[picked] * _ODD[40 : 40 + picked.shape[1]]).sum(axis=1) + _ODD[50]).view(np.int64)
 
 
+def _read(part):
+    """Of each text of a batch: its key (a digest of its words) and its labelled shingles."""
+    texts = part.column("text").to_pylist()
+    for text, words in zip(texts, word_hashes([x or "" for x in texts]), strict=True):
+        yield None if text is None else hashlib.blake2b(words.tobytes(), digest_size=16).digest(), labelled_shingles(words)
+
+
 def _signatures(batches):
     for part in slices(batches, 512):
-        texts = part.column("text").to_pylist()
-        keys, count, drawn, packed = [], [], [], []
-        for text, words in zip(texts, word_hashes([x or "" for x in texts]), strict=True):
-            labelled = labelled_shingles(words)
-            keys.append(None if text is None else hashlib.blake2b(words.tobytes(), digest_size=16).digest())
+        keys, count, drawn = [], [], []
+        for key, labelled in _read(part):
+            keys.append(key)
             count.append(len(labelled))
             drawn.append(sketches(labelled) if len(labelled) else [])
-            packed.append(labelled.astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(count, pa.int32()), pa.array(drawn, pa.list_(pa.int64())), pa.array(packed, pa.binary())], ["doc_id", "key", "n", "sketches", "shingles"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(count, pa.int32()), pa.array(drawn, pa.list_(pa.int64()))], ["doc_id", "key", "n", "sketches"])
+
+
+def _shingles(batches):
+    for part in slices(batches, 512):
+        keys, found = zip(*_read(part), strict=True)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), pa.array([x.astype(np.uint32).tobytes() for x in found], pa.binary())], ["doc_id", "key", "shingles"])
 
 
 def aligned(a: np.ndarray, sorted_b: np.ndarray, order_b: np.ndarray) -> int:
@@ -203,17 +213,18 @@ def _rest(batches):
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id and class_id, the smallest doc_id of its group of near copies."""
-    signed = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_signatures, "doc_id long, key binary, n int, sketches array<long>, shingles binary")
-    signed = spill(signed, "signed")
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    signed = spill(docs.mapInArrow(_signatures, "doc_id long, key binary, n int, sketches array<long>"), "signed")
     copies = spill(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("sketches").alias("sketches")), "copies")
 
     buckets = copies.where("n > 0").select("key", F.posexplode("sketches").alias("band", "h"))
     heads = buckets.groupBy("band", "h").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = spill(buckets.join(heads, ["band", "h"]), "buckets")  # texts in buckets of two and more
     pairs = spill(shared.where("key != head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "key")
-    rows = signed.join(copies.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"]).select("key", "shingles")
-    shingles = spill(rows.join(wanted, "key").dropDuplicates(["key"]), "shingles")
+    # Shingles are read anew, as what is shuffled of all texts, and kept for the texts of some pair only.
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().join(copies, F.col("a") == F.col("key")).select("key", F.col("first").alias("doc_id"))
+    shingles = docs.mapInArrow(_shingles, "doc_id long, key binary, shingles binary").join(wanted, ["key", "doc_id"])
+    shingles = spill(shingles.dropDuplicates(["key"]).select("key", "shingles"), "shingles")
     side = lambda c: shingles.select(F.col("key").alias(c), F.col("shingles").alias(f"s{c}"))
     links = spill(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_verify, "a binary, b binary"), "near")
 
