@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, minhash, mixing, neardup_vec, packing, secret_scan, tokens
+from . import ann, chat, langid, minhash, mixing, neardup_vec, packing, secret_scan, suffix, tokens
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_nearest_neighbours(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_repeated_substrings(spark, sf_dir):
+    return suffix.strip_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_near_duplicates, op3_best_fit_packing, op4_nearest_neighbours, op6_language_id, op7_vector_near_duplicates, op8_secret_scan, op9_token_counts, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_near_duplicates, op3_best_fit_packing, op4_nearest_neighbours, op5_repeated_substrings, op6_language_id, op7_vector_near_duplicates, op8_secret_scan, op9_token_counts, op10_source_mixing)}
 ORACLES = {"op1_chat_formatting": chat.ORACLE, "op4_nearest_neighbours": ann.ORACLE, "op7_vector_near_duplicates": neardup_vec.ORACLE, "op10_source_mixing": mixing.ORACLE}
