@@ -24,6 +24,10 @@ from .common import spill
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Up to so many sources their rates are broadcast; beyond, documents are joined with them by source.
+FEW_SOURCES = 50_000
+
+
 def n_words(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -71,7 +75,9 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), max_rate: int = 3, seed: str
 def repeat_documents(docs: DataFrame, weights=(1, 2, 3), max_rate: int = 3, seed: str = "mix") -> DataFrame:
     """The mix itself: every document of ``docs`` as often as it is taken, with the columns of ``docs``."""
     per = source_targets(docs.select("source", n_words(F.col("text")).alias("size")), weights, max_rate)
-    per = per.select(F.col("source").alias("__of"), (F.col("target") / F.col("source_size")).alias("__rate"))
+    per = spill(per.select(F.col("source").alias("__of"), (F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))).alias("__rate")), "targets")
+    if per.count() <= FEW_SOURCES:  # then no text is shuffled
+        per = F.broadcast(per)
     rate = F.coalesce(F.col("__rate"), F.lit(0.0))
     copies = F.floor(rate) + (chance(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
     mixed = docs.join(per, docs.source.eqNullSafe(per["__of"])).where(copies > 0)

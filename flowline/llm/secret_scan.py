@@ -20,6 +20,7 @@ import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -277,8 +278,6 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]")
 
 def redact_documents(docs: DataFrame, field: Field, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each secret in text replaced by a mark (and n_chars, if there, set anew)."""
-    import pandas as pd
-
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     @F.pandas_udf("string")
