@@ -33,20 +33,22 @@ from pyspark.sql import functions as F
 
 from .common import slices, spill
 
-#: Letters that only lower-casing changes, and punctuation that the tokenizer cuts from letters before it.
-STEM, TAIL = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+"), ".,;:!?%$&*#|"
+#: Lower-case Latin-1 letters, and punctuation behind one at the end of a word.
+LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+TAIL = re.compile(r"([.,;:!?%$&*#|])(?<=[a-zß-öø-ÿ].)([.,;:!?%$&*#|]*)(?!\S)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds(dict):
     """Packed ids by word. The tokenizer drops white space and never joins what is on its two sides, so a text's ids are its words' ids in turn.
 
-    Most new words are Latin letters with some punctuation behind them. The tokenizer's pattern cuts between the two,
-    and lower-casing is all its normalisation does to such letters. Their stems are encoded many at a time, without
-    normalisation and with white space as the only cut; the last id of a stem, and no other, ends a word.
+    In Latin-1 texts lower-casing is all that its normalisation does, so it is done for the whole text, and common
+    punctuation behind a letter, before which the tokenizer cuts in any case, becomes a word. New words of letters are
+    then encoded many at a time, without normalisation and with white space as the only cut; the last id of a word, and
+    no other, ends it. Other words and texts, and texts that may hold special tokens, go through the library as they are.
     """
 
-    def __init__(self, model: str, most: int = 400_000):
+    def __init__(self, model: str, most: int = 500_000):
         import public_tokenizers
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -57,53 +59,43 @@ class WordIds(dict):
         self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
         for token, i in self.library.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.stems: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
-
-    def _whole(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn_stems(self, stems: set[str]) -> None:
-        new = list(stems.difference(self.stems.keys()))
-        if len(self.stems) + len(new) > self.most:
-            self.stems.clear()
-            new = list(stems)
-        for i in range(0, len(new), 1000):
-            some = new[i : i + 1000]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-            if len(cuts) == len(some):
-                flat = ids.tobytes()
-                self.stems.update((w, flat[a:b]) for w, a, b in zip(some, [0, *cuts], cuts, strict=False))
-            else:
-                self.stems.update(zip(some, self._whole(some), strict=True))
+
+    def _whole(self, words: list[str]) -> None:
+        self.update((w, array("I", e.ids).tobytes()) for w, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True))
 
     def learn(self, words: set[str]) -> None:
         new = words.difference(self.keys())
         if len(self) + len(new) > self.most:
             self.clear()
             new = words
-        cut, rest = [], []
-        for w in new:
-            stem = w.lower().rstrip(TAIL)
-            if STEM.fullmatch(w, 0, len(stem)) and len(w) <= 64:
-                cut.append((w, stem, w[len(stem) :]))
+        plain = [w for w in new if LETTERS.fullmatch(w) and len(w) <= 64]
+        self._whole(list(new.difference(plain)))
+        for i in range(0, len(plain), 1000):
+            some = plain[i : i + 1000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(cuts) == len(some):
+                flat = ids.tobytes()
+                self.update((w, flat[a:b]) for w, a, b in zip(some, [0, *cuts], cuts, strict=False))
             else:
-                rest.append(w)
-        self._learn_stems({x[1] for x in cut})
-        tails = list({x[2] for x in cut}.difference(self.tails.keys()))
-        if len(self.tails) > 50_000:
-            self.tails, tails = {"": b""}, list({x[2] for x in cut})
-        self.tails.update(zip(tails, self._whole(tails), strict=True))
-        self.update((w, self.stems[a] + self.tails[b]) for w, a, b in cut)
-        self.update(zip(rest, self._whole(rest), strict=True))
+                self._whole(some)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        words = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
+        words = [words_of(x) for x in texts]
         self.learn(set(chain.from_iterable(words)))
         return [np.frombuffer(b"".join(map(self.__getitem__, x)), dtype="<u4") for x in words]
 
 
+def words_of(text: str) -> list[str]:
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+            text = TAIL.sub(r" \1\2", text.lower())
+        except UnicodeEncodeError:
+            pass
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
 @functools.cache
 def _words(model: str) -> WordIds:
     return WordIds(model)
