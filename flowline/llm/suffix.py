@@ -32,7 +32,7 @@ from .common import slices, spill
 
 LENGTH, GRAM = 200, 32
 LONGEST = 256  # windows of a segment
-CHUNK, HOT = 1 << 19, 1 << 14
+BLOCK, CHUNK, HOT = 1 << 19, 1 << 19, 1 << 14
 
 _ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
@@ -59,13 +59,26 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
+def _blocks(batches):
+    """Lists of (rk, bytes, start in the text) of bounded size; blocks of one text overlap by all but one byte of a window."""
+    held, size = [], 0
+    for part in slices(batches, 512, BLOCK):
+        for rk, text in zip(part.column("rk").to_pylist(), part.column("text").to_pylist(), strict=True):
+            raw = (text or "").encode()
+            for start in range(0, len(raw) - LENGTH + 1, BLOCK):
+                one = raw[start : start + BLOCK + LENGTH - 1]
+                if held and size + len(one) > BLOCK:
+                    yield held
+                    held, size = [], 0
+                held.append((rk, one, start))
+                size += len(one)
+    if held:
+        yield held
+
+
 def _segments(batches):
     width = LENGTH - GRAM + 1
-    for part in slices(batches, 512):
-        raw = [(k, t.encode()) for k, t in zip(part.column("rk").to_pylist(), part.column("text").to_pylist(), strict=True) if t]
-        raw = [x for x in raw if len(x[1]) >= LENGTH]
-        if not raw:
-            continue
+    for raw in _blocks(batches):
         buffer = b"".join(x[1] for x in raw)
         ends = np.cumsum([len(x[1]) for x in raw])
         begins = np.concatenate([[0], ends[:-1]])
@@ -90,9 +103,9 @@ def _segments(batches):
         for i, (a, b, h) in enumerate(zip(starts.tolist(), stops.tolist(), hashes, strict=True)):
             digest[i] = xxhash.xxh3_64_intdigest(view[a : b + LENGTH - 1])
             inner[i] = np.count_nonzero(grams[a : b + width - 1] == h) > 1  # else no window of it repeats inside it
-        keys = np.array([x[0] for x in raw], dtype=np.int64)[owner]
+        keys, shift = (np.array([x[i] for x in raw], dtype=np.int64)[owner] for i in (0, 2))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys), pa.array((starts - begins[owner]).astype(np.int32)), pa.array((stops - starts).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(inner)],
+            [pa.array(keys), pa.array((starts - begins[owner] + shift).astype(np.int32)), pa.array((stops - starts).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(inner)],
             ["rk", "start", "n", "m", "c", "inner"],
         )
 
