@@ -65,7 +65,7 @@ def _clean() -> None:
             _drop(sc._jvm, sc._jsc.hadoopConfiguration(), path)
 
 
-def slices(batches, rows: int = 256, size: int = 4 << 20):
+def slices(batches, rows: int = 256, size: int = 1 << 20):
     """Cut Arrow batches so that each piece has few rows and, but for one long row, few bytes."""
     for batch in batches:
         if not batch.num_rows:

@@ -26,7 +26,7 @@ from .common import slices
 
 BUCKETS = 1 << 14
 UND = "und"
-PART = 1 << 20
+PART = 1 << 17
 
 
 @functools.cache
@@ -57,13 +57,11 @@ def text_parts(text: str):
         yield text[max(0, start - 2) : start + PART]
 
 
-def text_features(text: str) -> list[np.ndarray]:
-    out = []
+def text_features(text: str):
     for part in text_parts(text):
         p = points(part)
         if (p != 32).any():
-            out.append(features(np.concatenate([[np.uint32(32)], p, [np.uint32(32)]]).astype(np.uint32)))
-    return out
+            yield features(np.concatenate([[np.uint32(32)], p, [np.uint32(32)]]).astype(np.uint32))
 
 
 def _count(batches):
@@ -89,28 +87,33 @@ class Model:
         self.prior = np.log(docs / max(1, docs.sum()))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        names, scores, owner, rows = [UND] * len(texts), np.zeros(len(texts)), [], []
+        names, scores = [UND] * len(texts), np.zeros(len(texts))
+        if not self.langs:
+            return names, scores
+        total, seen = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), dtype=bool)
+        rows: list[np.ndarray] = []
+        owner: list[int] = []
         for i, text in enumerate(texts):
-            if text and self.langs:
-                found = text_features(text)
-                rows += found
-                owner += [i] * len(found)
-        if rows:
-            total = np.zeros((len(texts), len(self.langs)))
-            # few rows of the matrix at a time, so memory doesn't follow the number of languages
-            sizes, start = np.array([len(r) for r in rows]), 0
-            while start < len(rows):
-                stop = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), (4 << 20) // len(self.langs), side="right")))
-                gathered = self.matrix[np.concatenate(rows[start:stop])]
-                at = np.concatenate([[0], np.cumsum(sizes[start:stop])[:-1]])
-                np.add.at(total, owner[start:stop], np.add.reduceat(gathered, at, axis=0, dtype=np.float64))
-                start = stop
-            total += self.prior
-            for i in dict.fromkeys(owner):
-                best = int(total[i].argmax())
-                names[i], scores[i] = self.langs[best], 1 / np.exp(total[i] - total[i, best]).sum()
+            for part in text_features(text or ""):
+                rows.append(part)
+                owner.append(i)
+                # so many rows of the matrix at a time that memory follows neither texts nor languages
+                if sum(map(len, rows)) * len(self.langs) > 1 << 20:
+                    self._add(total, rows, owner)
+                    rows, owner = [], []
+                seen[i] = True
+        self._add(total, rows, owner)
+        total += self.prior
+        for i in np.flatnonzero(seen):
+            best = int(total[i].argmax())
+            names[i], scores[i] = self.langs[best], 1 / np.exp(total[i] - total[i, best]).sum()
         return names, scores
 
+    def _add(self, total: np.ndarray, rows: list[np.ndarray], owner: list[int]) -> None:
+        if rows:
+            at = np.cumsum([0, *map(len, rows[:-1])])
+            np.add.at(total, owner, np.add.reduceat(self.matrix[np.concatenate(rows)], at, axis=0, dtype=np.float64))
+
 
 def train(labelled: DataFrame, sample: int = 8000) -> Model:
     """Fit on (doc_id, text, lang); ``sample`` rows are expected to be read, all if there are fewer."""

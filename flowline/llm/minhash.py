@@ -23,6 +23,7 @@ a null doc_id never names a class with other rows.
 from __future__ import annotations
 
 import hashlib
+import re
 from bisect import bisect_left
 
 import numpy as np
@@ -36,6 +37,7 @@ from .components import components
 WORDS, SIMILAR = 5, 0.8
 SKETCHES, KEPT = 16, 4
 BLOCK = 256
+PART = 1 << 19
 
 _rng = np.random.default_rng(20240229)
 _ODD = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -43,6 +45,7 @@ _MUL = (_rng.integers(0, 1 << 31, SKETCHES, dtype=np.uint64) * np.uint64(2) + np
 _SEED = _rng.integers(0, 1 << 32, SKETCHES, dtype=np.uint64).astype(np.uint32)[:, None]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_GAP = re.compile(r"[ \t-\r]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,6 +71,20 @@ def word_hashes(texts: list[str]) -> list[np.ndarray]:
     return np.split(hashes, cuts)
 
 
+def whole_word_hashes(texts: list[str]) -> list[np.ndarray]:
+    """The same, with texts of more than ``PART`` characters in parts that end where a word does, to bound memory."""
+    if max(map(len, texts), default=0) <= PART:
+        return word_hashes(texts)
+    out = []
+    for text in texts:
+        cuts = [0]
+        while len(text) - cuts[-1] > PART and (m := _GAP.search(text, cuts[-1] + PART)):
+            cuts.append(m.start())
+        found = [word_hashes([text[a:b]])[0] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+        out.append(np.concatenate(found))
+    return out
+
+
 def labelled_shingles(words: np.ndarray) -> np.ndarray:
     """Hashes of the shingles in text order, each with its occurrence number mixed in."""
     n = len(words)
@@ -103,7 +120,7 @@ def sketches(labelled: np.ndarray) -> np.ndarray:
 def _read(part):
     """Of each text of a batch: its key (a digest of its words) and its labelled shingles."""
     texts = part.column("text").to_pylist()
-    for text, words in zip(texts, word_hashes([x or "" for x in texts]), strict=True):
+    for text, words in zip(texts, whole_word_hashes([x or "" for x in texts]), strict=True):
         yield None if text is None else hashlib.blake2b(words.tobytes(), digest_size=16).digest(), labelled_shingles(words)
 
 

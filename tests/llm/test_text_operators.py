@@ -7,6 +7,7 @@ import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,14 +187,16 @@ def test_language_of_odd_rows(odd):
 
 
 def test_prediction_does_not_depend_on_parts(monkeypatch):
-    model = langid.Model(["a", "b"], *(lambda r: (r.integers(0, 9, (2, langid.BUCKETS)).astype(float), __import__("numpy").ones(2)))(__import__("numpy").random.default_rng(0)))
+    rng = np.random.default_rng(0)
+    model = langid.Model(["a", "b"], rng.integers(0, 9, (2, langid.BUCKETS)).astype(float), np.ones(2))
     text = "Some text, with WORDS and déjà vu. " * 60
-    whole = langid.Model.predict(model, [text])
-    counts = sum((Counter(f.tolist()) for f in langid.text_features(text)), Counter())
-    monkeypatch.setattr(langid, "PART", 64)
-    parts = langid.Model.predict(model, [text])
-    assert whole[0] == parts[0]
-    assert abs(sum(counts.values()) - sum(len(f) for f in langid.text_features(text))) < 3 * len(text) / 64 * 4
+    whole = model.predict([text, None, "x", "12"])
+    counts = Counter(x for f in langid.text_features(text) for x in f.tolist())
+    monkeypatch.setattr(langid, "PART", 500)
+    parts = model.predict([text, None, "x", "12"])
+    assert whole[0] == parts[0] and whole[0][1] == whole[0][3] == "und"
+    again = Counter(x for f in langid.text_features(text) for x in f.tolist())
+    assert not counts - again and (again - counts).total() < 8 * len(text) / 500 * 3  # but for those that overlaps share
 
 
 # --- near duplicates ---
@@ -254,6 +257,14 @@ def test_near_duplicates_small_table(spark, small):
     assert {r.doc_id: r.class_id for r in got} == brute_classes(rows)
 
 
+def test_long_texts_in_parts(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("ab é\t\n", k=rng.randrange(400))) for _ in range(50)]
+    whole = minhash.word_hashes(texts)
+    monkeypatch.setattr(minhash, "PART", 37)
+    assert all((a == b).all() and len(a) == len(t.replace("\t", " ").replace("\n", " ").split()) for a, b, t in zip(whole, minhash.whole_word_hashes(texts), texts, strict=True))
+
+
 def test_group_whose_members_differ_from_the_first(spark, monkeypatch):
     """A chain of texts, each near the next: members far from the bucket's first text still join."""
     monkeypatch.setattr(minhash, "BLOCK", 4)
@@ -320,6 +331,27 @@ def test_repeats_small_table(spark, small):
     assert Counter(map(tuple, suffix.strip_repeats(docs).collect())) == brute_repeats(rows)
 
 
+def test_texts_in_blocks(monkeypatch):
+    """Windows of a long text are the same whatever blocks it is read in."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("abcd", k=n)) for n in (150, 200, 3000, 1000)]
+    batch = pa.RecordBatch.from_pydict({"rk": [1, 2, 3, 4], "text": texts})
+
+    def windows():
+        out = {}
+        for b in suffix._segments([batch]):
+            for r in b.to_pylist():
+                out |= {(r["rk"], s): r["m"] for s in range(r["start"], r["start"] + r["n"])}
+        return out
+
+    whole = windows()
+    assert len(whole) == sum(max(0, len(t) - 199) for t in texts)
+    monkeypatch.setattr(suffix, "BLOCK", 333)
+    assert windows() == whole
+
+
 def test_suffix_arrays():
     rng = random.Random(3)
     for k in range(300):
@@ -396,7 +428,7 @@ def test_viterbi_is_the_best_path():
 
 
 def test_redaction(odd):
-    field = secret_scan.Field([], __import__("numpy").zeros((0, 3)), __import__("numpy").zeros((3, 3)))
+    field = secret_scan.Field([], np.zeros((0, 3)), np.zeros((3, 3)))
     out = secret_scan.redact_documents(odd, field)
     assert out.columns == odd.columns
     got = {r.doc_id: r.text for r in out.collect()}
