@@ -17,26 +17,43 @@ from flowline.llm import langid, minhash, mixing, packing, secret_scan
 from flowline.llm.common import spill, table
 
 LEAST = 0.5
+#: Bytes of an Arrow batch. Texts are long, and a worker and its JVM hold a few batches each, so far less than Spark's default.
+BATCH = 8 << 20
 
 
+def bounded(stage):
+    """A stage whose Python workers get batches of bounded size."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@bounded
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
     named = langid.predict(docs, model).where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST))
     return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
+@bounded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.drop_near_duplicates(docs)
 
 
+@bounded
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secret_scan.redact_documents(docs, secret_scan.train(docs))
 
 
+@bounded
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.repeat_documents(docs)
 
 
+@bounded
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 

@@ -17,7 +17,6 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,14 +92,16 @@ class Model:
         total, seen = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), dtype=bool)
         rows: list[np.ndarray] = []
         owner: list[int] = []
+        held = 0
         for i, text in enumerate(texts):
             for part in text_features(text or ""):
                 rows.append(part)
                 owner.append(i)
                 # so many rows of the matrix at a time that memory follows neither texts nor languages
-                if sum(map(len, rows)) * len(self.langs) > 1 << 20:
+                held += len(part)
+                if held * len(self.langs) > 1 << 20:
                     self._add(total, rows, owner)
-                    rows, owner = [], []
+                    rows, owner, held = [], [], 0
                 seen[i] = True
         self._add(total, rows, owner)
         total += self.prior
@@ -135,14 +136,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # languages * BUCKETS floats
 
-    @F.pandas_udf("lang_pred string, score double")
-    def guess(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang_pred string, score double")
+    def guess(texts: pa.Array) -> pa.Array:
         names, scores = [], []
         for start in range(0, len(texts), 64):
-            a, b = shared.value.predict([x if isinstance(x, str) else None for x in texts.iloc[start : start + 64]])
+            a, b = shared.value.predict(texts.slice(start, 64).to_pylist())
             names += a
-            scores.append(b)
-        return pd.DataFrame({"lang_pred": names, "score": np.concatenate(scores) if scores else []})
+            scores += b.tolist()
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.select(*own, guess("text").alias("__guess")).select(*own, "__guess.lang_pred", "__guess.score")

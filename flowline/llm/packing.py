@@ -48,7 +48,7 @@ class WordIds(dict):
     no other, ends it. Other words and texts, and texts that may hold special tokens, go through the library as they are.
     """
 
-    def __init__(self, model: str, most: int = 500_000):
+    def __init__(self, model: str, most: int = 350_000):
         import public_tokenizers
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 

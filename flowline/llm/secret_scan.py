@@ -20,7 +20,6 @@ import hashlib
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -280,9 +279,9 @@ def redact_documents(docs: DataFrame, field: Field, mark: str = "[SECRET]") -> D
     """``docs`` with each secret in text replaced by a mark (and n_chars, if there, set anew)."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: redact(t, base_spans(t) + shared.value.spans(t), mark) if isinstance(t, str) else None)
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array((None if t is None else redact(t, base_spans(t) + shared.value.spans(t), mark) for t in (x.as_py() for x in texts)), pa.string())
 
     out = docs.withColumn("text", clean("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
