@@ -128,14 +128,13 @@ def zip_latest(left: Flow, right: Flow, value: str, hold: bool = True) -> Flow:
     else:
         got = {r.src: r.s for r in rows.groupBy("src").agg(first.alias("s")).collect()}  # two rows
         if len(got) < 2:
-            rows = rows.limit(0)
-            got = {0: None, 1: None}
-        kind = lambda s: F.lit(None) if s is None else F.struct(*[F.lit(s[c]).alias(c) for c in (clock, *left.order)])
-        rows = rows.withColumns({f"s{i}": kind(got[i]) for i in (0, 1)}) if got[0] is not None else rows.withColumns({f"s{i}": F.lit(None).cast(f"struct<{clock}:{dict(rows.dtypes)[clock]}>") for i in (0, 1)})
+            nothing = rows.where(F.lit(False)).withColumns({"l": F.col(value), "r": F.col(value), "pos": F.lit(0).cast("long")})
+            return Flow(nothing, ("pos",), (), clock)
+        rows = rows.withColumns({f"s{i}": F.struct(*[F.lit(got[i][c]).alias(c) for c in (clock, *left.order)]) for i in (0, 1)})
     opens = F.greatest(F.col(f"s0.{clock}"), F.col(f"s1.{clock}"))
     own = F.when(F.col("src") == 0, F.col("s0")).otherwise(F.col("s1"))
     is_first = F.struct(clock, *left.order) == own if hold else F.lit(False)
-    rows = rows.withColumns({"moment": F.greatest(F.col(clock), opens) if hold else F.col(clock), "later": F.when(is_first, 0).otherwise(1)}) if hold else rows.withColumns({"moment": F.col(clock), "later": F.lit(1)})
+    rows = rows.withColumns({"moment": F.greatest(F.col(clock), opens) if hold else F.col(clock), "later": F.when(is_first, 0).otherwise(1)})
     order = ("moment", "later", clock, "src", *left.order)
     if key:
         flow = Flow(rows, order, tuple(key), clock)

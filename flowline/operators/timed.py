@@ -333,8 +333,9 @@ def extrapolate(pull_every: int, clock: str, injected: Column, most: int, nth: s
         i = F.row_number().over(w)
         rows = f.df.withColumns({"__i": i, "__c": F.ceil((F.col(clock) - start) / F.lit(pull_every)).cast("long"), "__start": start})
         rows = rows.withColumn("tick", F.col("__i") + F.max(F.col("__c") - F.col("__i")).over(run))
-        free = F.least(F.lead("tick").over(w) - F.col("tick") - 1, F.lit(most))
-        rows = rows.withColumn("__free", F.coalesce(free, F.lit(0)).cast("int"))
+        after = F.lead("tick").over(w)
+        free = F.when(after.isNotNull(), F.least(after - F.col("tick") - 1, F.lit(most))).otherwise(0)
+        rows = rows.withColumn("__free", free.cast("int"))
         rows = rows.withColumn(nth, F.explode(F.sequence(F.lit(0), F.col("__free")))).drop("__free")
         rows = rows.withColumns({"tick": F.col("tick") + F.col(nth)})
         rows = rows.withColumn(name, F.when(F.col(nth) > 0, injected).otherwise(F.col(name)))

@@ -463,7 +463,8 @@ def keep_alive(spark, sf_dir):
 @query(f"""WITH r AS (SELECT user_id, event_id, us, cents, row_number() OVER w AS i, min(us) OVER (PARTITION BY user_id) AS start FROM {E} WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 c AS (SELECT *, CAST(ceil((us - start) / {6 * HOUR}.0) AS BIGINT) AS c FROM r),
 t AS (SELECT *, i + max(c - i) OVER (PARTITION BY user_id ORDER BY event_id) AS tick FROM c),
-g AS (SELECT *, coalesce(least(lead(tick) OVER (PARTITION BY user_id ORDER BY event_id) - tick - 1, 3), 0) AS free FROM t)
+n AS (SELECT *, lead(tick) OVER (PARTITION BY user_id ORDER BY event_id) AS after FROM t),
+g AS (SELECT *, CASE WHEN after IS NULL THEN 0 ELSE least(after - tick - 1, 3) END AS free FROM n)
 SELECT user_id, event_id, nth::INTEGER AS nth, CASE WHEN nth > 0 THEN cents + nth * 10 ELSE cents END AS value, start + (tick + nth) * {6 * HOUR} AS emit_us
 FROM g, LATERAL (SELECT unnest(range(0, free + 1)) AS nth) n""")
 def extrapolate(spark, sf_dir):
