@@ -48,7 +48,7 @@ class WordIds(dict):
     no other, ends it. Other words and texts, and texts that may hold special tokens, go through the library as they are.
     """
 
-    def __init__(self, model: str, most: int = 350_000):
+    def __init__(self, model: str, most: int = 200_000):
         import public_tokenizers
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -129,6 +129,7 @@ def piece_rows(model: str, capacity: int, end_id: int, keep_ids: bool):
                     out.append((doc, k, start, len(cut), zlib.crc32(cut.tobytes()), *([cut] if keep_ids else [])))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=False)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids])
+        words.clear()  # a worker outlives its task, and may idle beside others
 
     return run
 
