@@ -2,23 +2,50 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_STAGED: list = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: the session's ``spark.checkpoint.dir``.
+
+    Only where that setting is absent (tests on one machine) a temporary folder stands in.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = getattr(spark.sparkContext, "_flow_stage_dir", None) or tempfile.mkdtemp(prefix="flowline-stage-")
-        spark.sparkContext._flow_stage_dir = found
+        found = getattr(spark.sparkContext, "_flowline_dir", None) or tempfile.mkdtemp(prefix="flowline-")
+        spark.sparkContext._flowline_dir = found
     return found
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back with the same schema."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
+    """Write ``df`` once as Parquet in the shared folder and read it back with the same schema.
+
+    A lost executor costs the reading tasks only, and expensive stages run once: unlike ``checkpoint()`` this computes
+    the rows a single time. The tables are removed when the program ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/flowline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if not _STAGED:
+        atexit.register(_clean)
+    _STAGED.append((weakref.ref(spark.sparkContext), path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _clean() -> None:
+    for ref, path in _STAGED:
+        sc = ref()
+        if sc is None or sc._jsc is None:
+            continue
+        try:
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001 - the session may be ending already
+            return
