@@ -2,69 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-import weakref
-
 from pyspark.sql import DataFrame, SparkSession
 
-_SPILLED: list = []
+from ..plans.staging import stage as spill
+
+__all__ = ["slices", "spill", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (tests on one machine) a temporary folder stands in.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = getattr(spark.sparkContext, "_flowline_dir", None) or tempfile.mkdtemp(prefix="flowline-")
-        spark.sparkContext._flowline_dir = found
-    return found
-
-
-def _drop(jvm, jconf, path: str) -> None:
-    try:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(jconf).delete(where, True)
-    except Exception:  # noqa: BLE001 - the session may be gone already
-        pass
-
-
-def spill(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    Cuts lineage: a lost executor costs the reading tasks only, and expensive Python stages run once.
-    Unlike ``checkpoint()`` it computes the rows a single time. Removed when the program ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/flowline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _SPILLED:
-        atexit.register(_clean)
-    _SPILLED.append((weakref.ref(spark.sparkContext), path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove a spilled table that nothing reads any more."""
-    sc = df.sparkSession.sparkContext
-    for path in {p.rpartition("/")[0] for p in df.inputFiles() if "/flowline-" in p}:
-        _drop(sc._jvm, sc._jsc.hadoopConfiguration(), path)
-
-
-def _clean() -> None:
-    for ref, path in _SPILLED:
-        sc = ref()
-        if sc is not None and sc._jsc is not None:
-            _drop(sc._jvm, sc._jsc.hadoopConfiguration(), path)
-
-
 def slices(batches, rows: int = 256, size: int = 1 << 20):
     """Cut Arrow batches so that each piece has few rows and, but for one long row, few bytes."""
     for batch in batches:
