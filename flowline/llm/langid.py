@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import slices
 
@@ -136,17 +137,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # languages * BUCKETS floats
 
-    @F.arrow_udf("lang_pred string, score double")
-    def guess(texts: pa.Array) -> pa.Array:
-        names, scores = [], []
-        for start in range(0, len(texts), 64):
-            a, b = shared.value.predict(texts.slice(start, 64).to_pylist())
-            names += a
-            scores += b.tolist()
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
-
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*own, guess("text").alias("__guess")).select(*own, "__guess.lang_pred", "__guess.score")
+    docs = docs.select(*own)
+
+    def guess(batches):
+        for part in slices(batches, 64):
+            names, scores = shared.value.predict(part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*own, "lang_pred", "score"])
+
+    return docs.mapInArrow(guess, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def held_out(doc_id) -> F.Column:

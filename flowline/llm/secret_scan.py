@@ -279,9 +279,11 @@ def redact_documents(docs: DataFrame, field: Field, mark: str = "[SECRET]") -> D
     """``docs`` with each secret in text replaced by a mark (and n_chars, if there, set anew)."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
-    @F.arrow_udf("string")
-    def clean(texts: pa.Array) -> pa.Array:
-        return pa.array((None if t is None else redact(t, base_spans(t) + shared.value.spans(t), mark) for t in (x.as_py() for x in texts)), pa.string())
+    def clean(batches):
+        for part in slices(batches, 64):
+            texts = [None if t is None else redact(t, base_spans(t) + shared.value.spans(t), mark) for t in part.column("text").to_pylist()]
+            at = part.schema.get_field_index("text")
+            yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
-    out = docs.withColumn("text", clean("text"))
+    out = docs.mapInArrow(clean, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
