@@ -97,14 +97,17 @@ def test_targets_are_water_filling(spark, sizes):
     assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], rel_tol=1e-9, abs_tol=1e-9) for s in want)
 
 
-def test_mix_takes_near_targets(spark, small, odd):
+def test_mix_takes_near_targets(spark, small, odd, monkeypatch):
     docs = table(spark, small.replace("0.001", "0.01"), "documents")
     taken, target = defaultdict(int), {}
-    for r in mixing.mix_sources(docs).join(docs.select("doc_id", "source"), "doc_id").collect():
+    for r in mixing.mix_sources(docs).collect():
         assert 0 <= r.copies <= 3
         taken[r.source] += r.copies * r["size"]
         target[r.source] = r.target
-    assert abs(sum(taken.values()) / sum(target.values()) - 1) < 0.1
+    # single documents are up to half of these sources
+    assert sum(abs(taken[s] / target[s] - 1) for s in target) / len(target) < 0.1
+    assert abs(sum(taken.values()) / sum(target.values()) - 1) < 0.02
+    monkeypatch.setattr(mixing, "STRATUM", 3)
     copies = {r.doc_id: r.copies for r in mixing.mix_sources(odd).where("doc_id != 5").collect()}
     again = Counter(r.doc_id for r in mixing.repeat_documents(odd).collect())
     assert all(again[k] == (n or 0) for k, n in copies.items() if k is not None)
