@@ -222,7 +222,8 @@ def search(embeddings: DataFrame, is_query, top: int = 20, probe: float = 0.5, l
     shared = spark.sparkContext.broadcast(index)
     enough = max(least, probe * int(index.counts.sum()))
     queries = rows.where("asks").dropDuplicates(["vec_id"])
-    blocks = max(1, -(-queries.count() // QUERIES))
+    n_queries = queries.count()
+    blocks = max(1, -(-n_queries // QUERIES))
     kind = rows.schema["v"].dataType.simpleString()
     schema = f"shard int, block int, cell int, vec_id long, v {kind}, cells array<int>"
 
@@ -259,7 +260,7 @@ def search(embeddings: DataFrame, is_query, top: int = 20, probe: float = 0.5, l
                 yield pa.RecordBatch.from_arrays([pa.array(index.first[cell] + salt % index.share[cell], pa.int32()), *(b.column(c) for c in ("cell", "vec_id", "v"))], ["shard", "cell", "vec_id", "v"])
 
     block = F.pmod(F.xxhash64("vec_id", F.lit("q")), F.lit(blocks)).cast("int")
-    asked = queries.select("vec_id", "v", block.alias("block")).repartition("vec_id").mapInArrow(ask, schema)
+    asked = queries.select("vec_id", "v", block.alias("block")).repartition(max(1, -(-n_queries // 128)), "vec_id").mapInArrow(ask, schema)
     dealt = entries.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)).cast("int")).mapInArrow(deal, f"shard int, cell int, vec_id long, v {kind}")
     dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("shard", "block", "cell", "vec_id", "v", F.lit(None).cast("array<int>").alias("cells"))
     both = asked.union(dealt).repartition("shard", "block").sortWithinPartitions("shard", "block", "cell")

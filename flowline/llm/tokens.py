@@ -54,11 +54,7 @@ def splice(text: str, sp, covers: np.ndarray, pairs: frozenset, chunk: int, over
     ids: list[int] = []
     start, stop = 0, chunk  # ids holds the tokens of text[:start]; start is stable
     while True:
-        # The library puts a space before what it encodes. A first chunk has it in any case; for others one
-        # space more in front keeps it out of the tokens of text[start:].
-        own = sp.encode(text[start:stop] if not start or text[start] != " " else text[start + 1 : stop])
-        if start and text[start] != " ":
-            own = _without_prefix(sp, text[start:stop])
+        own = _rest(sp, text, start, stop)
         if stop >= len(text):
             return ids + own
         ends = np.cumsum(covers[own]) - (0 if start else 1) + start  # offsets in the text
@@ -79,11 +75,17 @@ def splice(text: str, sp, covers: np.ndarray, pairs: frozenset, chunk: int, over
             wide *= 2
 
 
-def _without_prefix(sp, text: str) -> list[int]:
-    """The ids of a text that follows a stable boundary, without the space that the library puts in front."""
-    mark = "\n"  # a byte token of its own in front: nothing merges with it
-    ids = sp.encode(mark + text)
-    return ids[len(sp.encode(mark)) :]
+def _rest(sp, text: str, start: int, stop: int) -> list[int]:
+    """The ids of text[start:stop] as they are in the whole text; ``start`` is stable.
+
+    The library puts a space in front of what it encodes. The text's own start has it in any case, elsewhere it
+    stands for a space of the text or is cut off together with a line end, a token of its own that nothing merges with.
+    """
+    if not start:
+        return sp.encode(text[:stop])
+    if text[start] == " ":
+        return sp.encode(text[start + 1 : stop])
+    return sp.encode("\n" + text[start:stop])[len(sp.encode("\n")) :]
 
 
 def counter(model: str, limit: int, chunk: int, overlap: int):
