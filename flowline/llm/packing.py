@@ -10,6 +10,11 @@ is made on the driver from those counts, whatever the number of documents, and i
 3. Actual lengths take the slots of their group, and so leave a little more room than planned.
 4. What the rounding left over and the small lengths go, longest first, where they fit best.
 
+Rounding wastes room in every sequence of a configuration, which pays only where large lengths fit together badly. So
+plans are made for several bounds of what is large, from an eighth of a sequence, where most text is in
+configurations of several slots, to a half, where each large length has a sequence of its own for best fit to fill; the
+plan with the fewest sequences is taken.
+
 A plan is a list of runs: the pieces of one length with ranks in some range go to consecutive sequences, so many
 in each, at some offset. A piece's rank among those of its length is counted within salted parts of the length,
 so a length that a third of the pieces share is spread over many tasks.
@@ -292,7 +297,15 @@ class Plan:
             self._fill(size, left, self.capacity, self.sequences - n, n)
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, groups: int = 96, salts: int = 256) -> DataFrame:
+#: What is tried: lengths above capacity / n are large, and rounded in so many groups.
+TRIED = ((8, 96), (4, 48), (3, 48), (2, 48))
+
+
+def best_plan(histogram: dict[int, int], capacity: int, tried=TRIED) -> Plan:
+    return min((Plan(histogram, capacity, groups, small) for small, groups in tried), key=lambda p: p.sequences)
+
+
+def pack(pieces: DataFrame, capacity: int = 2048, salts: int = 256) -> DataFrame:
     """Pieces with a ``length`` of 1 to ``capacity``, each with its sequence_id and offset.
 
     ``pieces`` is read three times, so it should be a written table. A length gets a share of ``salts`` parts as its
@@ -301,7 +314,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, groups: int = 96, salts: int =
     """
     spark = pieces.sparkSession
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, plan = sum(histogram.values()), Plan(histogram, capacity, groups)
+    total, plan = sum(histogram.values()), best_plan(histogram, capacity)
     parts = spark.createDataFrame([(s, -(-salts * n // total)) for s, n in histogram.items()] or [(0, 1)], "p_length long, p_parts int")
     salted = pieces.join(F.broadcast(parts), F.col("length") == F.col("p_length"))
     salted = salted.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("p_parts")).cast("int")).select(*pieces.columns, "__salt")
