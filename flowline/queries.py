@@ -28,10 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str) -> Flow:
-    """Events in order of their id, with the arrival time in microseconds and the value in cents."""
+def events(spark: SparkSession, sf_dir: str, *columns: str) -> Flow:
+    """Events in order of their id, with the arrival time in microseconds and the value in cents.
+
+    Operators over a whole order stage their rows, which ends column pruning; they get only the ``columns`` they need.
+    """
     df = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"), "props")
-    return from_frame(df.withColumn("us", timed.micros("ts")), "event_id", clock="us")
+    df = df.withColumn("us", timed.micros("ts"))
+    return from_frame(df.select(*columns) if columns else df, "event_id", clock="us")
 
 
 #: The same view of the events in the SQL below.
@@ -117,7 +121,7 @@ def gather_flat_map(spark, sf_dir):
 @query(f"""SELECT event_id, w[1] AS a, w[2] AS b, w[3] AS c FROM (
   SELECT event_id, list(cents) OVER (ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS w FROM {E}) WHERE len(w) = 3""")
 def gather_sliding(spark, sf_dir):
-    out = events(spark, sf_dir).then(gather.window_sliding(3, "cents")).df
+    out = events(spark, sf_dir, "event_id", "cents").then(gather.window_sliding(3, "cents")).df
     return out.select("event_id", *[F.col("window")[i].alias(n) for i, n in enumerate("abc")])
 
 
@@ -131,13 +135,13 @@ def gather_sliding_keyed(spark, sf_dir):
 @query(f"""SELECT (rn // 5)::BIGINT AS window_id, string_agg(cents::VARCHAR, ',' ORDER BY rn) AS joined FROM (
   SELECT cents, row_number() OVER (ORDER BY event_id) - 1 AS rn FROM {E}) GROUP BY rn // 5""")
 def gather_fixed(spark, sf_dir):
-    out = events(spark, sf_dir).then(gather.window_fixed(5, "cents")).df
+    out = events(spark, sf_dir, "event_id", "cents").then(gather.window_fixed(5, "cents")).df
     return out.select("window_id", F.array_join(F.col("window").cast("array<string>"), ",").alias("joined"))
 
 
 @query(f"SELECT event_id, (sum(cents) OVER (ORDER BY event_id))::BIGINT AS total FROM {E}")
 def gather_scan(spark, sf_dir):
-    return events(spark, sf_dir).then(gather.scan(F.col("cents"))).df.select("event_id", "total")
+    return events(spark, sf_dir, "event_id", "cents").then(gather.scan(F.col("cents"))).df.select("event_id", "total")
 
 
 @query(f"SELECT user_id, bit_xor(cents) AS folded FROM {E} GROUP BY user_id")
@@ -209,12 +213,12 @@ _SPLIT = "SELECT event_id, {} AS segment FROM (SELECT event_id, event_type = 'pu
 
 @query("SELECT s.event_id, s.segment, min(s.event_id) OVER (PARTITION BY s.segment) AS first FROM (" + _SPLIT.format("(sum(CASE WHEN rn = 1 OR p THEN 1 ELSE 0 END) OVER (ORDER BY event_id))::BIGINT") + ") s")
 def split_before(spark, sf_dir):
-    return events(spark, sf_dir).then(group.split(F.col("event_type") == "purchase", first="first", of="event_id")).df.select("event_id", "segment", "first")
+    return events(spark, sf_dir, "event_id", "event_type").then(group.split(F.col("event_type") == "purchase", first="first", of="event_id")).df.select("event_id", "segment", "first")
 
 
 @query("SELECT s.event_id, s.segment, min(s.event_id) OVER (PARTITION BY s.segment) AS first FROM (" + _SPLIT.format("(1 + coalesce(sum(CASE WHEN p THEN 1 ELSE 0 END) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT") + ") s")
 def split_after(spark, sf_dir):
-    return events(spark, sf_dir).then(group.split(F.col("event_type") == "purchase", after=True, first="first", of="event_id")).df.select("event_id", "segment", "first")
+    return events(spark, sf_dir, "event_id", "event_type").then(group.split(F.col("event_type") == "purchase", after=True, first="first", of="event_id")).df.select("event_id", "segment", "first")
 
 
 @query(f"""WITH b AS (SELECT *, sum(CASE WHEN rn = 1 OR event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS base
@@ -240,7 +244,7 @@ def broadcast(spark, sf_dir):
 
 @query("SELECT s::INTEGER AS sink, event_id FROM (SELECT event_id FROM events ORDER BY event_id LIMIT 700), (SELECT unnest([0, 1, 2]) AS s) r")
 def broadcast_cancel(spark, sf_dir):
-    return events(spark, sf_dir).then(fan.broadcast([None, 700, 900])).df.select("sink", "event_id")
+    return events(spark, sf_dir, "event_id").then(fan.broadcast([None, 700, 900])).df.select("sink", "event_id")
 
 
 _ROUTES = f"""(SELECT event_id, (event_id % 3)::INTEGER AS sink, cents AS value, 0 AS nth FROM {E} WHERE cents % 5 <> 0
@@ -278,8 +282,7 @@ _TWO = f"SELECT 0 AS src, event_id, cents FROM {E} WHERE event_type = 'click' UN
 
 
 def _two(spark, sf_dir):
-    f = events(spark, sf_dir)
-    f = f.with_df(f.df.select("event_id", "us", "cents", "event_type"))
+    f = events(spark, sf_dir, "event_id", "us", "cents", "event_type")
     return [of_type(f, "click"), of_type(f, "view")]
 
 
@@ -335,7 +338,7 @@ SELECT {keys}event_id, l, r FROM l WHERE l IS NOT NULL AND r IS NOT NULL"""
 
 
 def _late(spark, sf_dir, *key):
-    f = events(spark, sf_dir).keyed(*key)
+    f = events(spark, sf_dir, "event_id", "us", "cents", "event_type", *key).keyed(*key)
     a = of_type(f, "click")
     return a.with_df(a.df.where("event_id > 40")), of_type(f, "view")
 
@@ -396,7 +399,7 @@ def buffer(spark, sf_dir):
 
 @query(f"SELECT (rn // 100)::BIGINT AS batch_id, count(*) AS n, sum(cents)::BIGINT AS total FROM (SELECT cents, row_number() OVER (ORDER BY event_id) - 1 AS rn FROM {E}) GROUP BY 1")
 def batch_count(spark, sf_dir):
-    return events(spark, sf_dir).then(timed.batch_count(100, C.summing("cents"))).df.select("batch_id", "n", "total")
+    return events(spark, sf_dir, "event_id", "cents").then(timed.batch_count(100, C.summing("cents"))).df.select("batch_id", "n", "total")
 
 
 HOUR = 3_600_000_000
