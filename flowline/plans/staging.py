@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import weakref
@@ -19,8 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = getattr(spark.sparkContext, "_flowline_dir", None) or tempfile.mkdtemp(prefix="flowline-")
-        spark.sparkContext._flowline_dir = found
+        found = getattr(spark.sparkContext, "_flowline_dir", None)
+        if not found:
+            found = spark.sparkContext._flowline_dir = tempfile.mkdtemp(prefix="flowline-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found
 
 
@@ -28,19 +31,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back with the same schema.
 
     A lost executor costs the reading tasks only, and expensive stages run once: unlike ``checkpoint()`` this computes
-    the rows a single time. The tables are removed when the program ends.
+    the rows a single time. The tables are removed by ``release`` and when the program ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/flowline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not _STAGED:
-        atexit.register(_clean)
     _STAGED.append((weakref.ref(spark.sparkContext), path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _clean() -> None:
-    for ref, path in _STAGED:
+def release() -> None:
+    """Remove all staged tables. For long programs, once what was made from them is written."""
+    while _STAGED:
+        ref, path = _STAGED.pop()
         sc = ref()
         if sc is None or sc._jsc is None:
             continue
@@ -49,3 +52,6 @@ def _clean() -> None:
             where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # noqa: BLE001 - the session may be ending already
             return
+
+
+atexit.register(release)

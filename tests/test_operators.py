@@ -91,6 +91,17 @@ def test_positions_and_running_values(spark):
     assert with_position(df.where("id < 0"), ["id"]).count() == 0
 
 
+def test_staged_tables_are_released(spark):
+    import os
+
+    from flowline.plans.staging import release, shared_dir, stage
+
+    got = stage(spark.range(5), "five")
+    assert got.count() == 5 and any("five" in x for x in os.listdir(shared_dir(spark)))
+    release()
+    assert not any("five" in x for x in os.listdir(shared_dir(spark)))
+
+
 def test_route_and_bad_index(spark):
     t = F.array(F.struct(F.lit(0).alias("index"), F.col("v").alias("value")), F.struct((F.col("v") % 2).alias("index"), (-F.col("v")).alias("value")))
     assert values(ints(spark, 1, 2).then(fan.route(t, 2)), "sink", "value") == [(0, 1), (1, -1), (0, 2), (0, -2)]
