@@ -30,7 +30,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Documents of a source for each salt of its size classes.
-STRATUM = 100_000
+STRATUM = 2_000
 
 
 def n_words(text) -> F.Column:
@@ -119,7 +119,7 @@ WITH sized AS (
   SELECT s.doc_id, s.size, s.source, a.source_size, a.target,
          CASE WHEN a.source_size > 0 THEN a.target / a.source_size ELSE 0 END AS rate,
          md5('mix:' || coalesce(s.doc_id::VARCHAR, 'null')) AS hexes, length(bin(s.size)) AS class,
-         1 + count(*) OVER (PARTITION BY s.source) // 100000 AS salts
+         1 + count(*) OVER (PARTITION BY s.source) // STRATUM AS salts
   FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source
 ), salted AS (
   SELECT *, floor(('0x' || substr(hexes, 14, 13))::BIGINT / 4503599627370496.0::DOUBLE * salts)::BIGINT AS salt FROM rated
@@ -131,4 +131,4 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target,
        (size * (floor(rate) + floor(start + rank * part) - floor(start + (rank - 1) * part)))::BIGINT AS taken
 FROM placed
-"""
+""".replace("STRATUM", str(STRATUM))
