@@ -36,7 +36,7 @@ from .components import components
 
 WORDS, SIMILAR = 5, 0.8
 SKETCHES, KEPT = 16, 4
-BLOCK = 256
+BLOCK, PARTS = 256, 16
 PART = 1 << 19
 
 _rng = np.random.default_rng(20240229)
@@ -250,7 +250,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = shared.join(known, F.col("key") == F.col("vertex"), "left").select("band", "h", "size", "key", F.coalesce("component", "key").alias("label"))
     split = named.groupBy("band", "h").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 != l2 ").select("band", "h")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_ = named.join(split, ["band", "h"]).where("size > 2").withColumn("blocks", blocks)
+    # A large group's bucket holds many rows that this join may drop, so it is dealt in parts.
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    named = named.withColumn("part", F.pmod(F.xxhash64("key", F.lit("part")), F.lit(PARTS)).cast("int"))
+    open_ = named.join(split.withColumn("part", parts), ["band", "h", "part"]).where("size > 2").withColumn("blocks", blocks)
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     open_ = open_.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
