@@ -11,7 +11,7 @@ has one document too many or too few at most. Over sources of 2,500 documents th
 where independent draws were off by up to 9 %.
 
 All of it is DataFrame work. Sources are pre-aggregated before the shuffle; the only global order is over one row
-per source. Classes of sources with many documents are salted, so a hot source's classes are spread over tasks.
+per source. Classes with many documents are salted, so a hot source's classes are spread over tasks.
 
 Null texts have size 0; a null source is a source of its own and comes last; a source without words gets
 target 0; repeated rows share their draw, so they are taken alike; a null doc_id hashes as the text ``null``. An
@@ -29,8 +29,8 @@ from .common import spill
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Documents of a source for each salt of its size classes.
-STRATUM = 2_000
+#: Documents for each salt of a source's size class.
+STRATUM = 1_000
 
 
 def n_words(text) -> F.Column:
@@ -38,14 +38,14 @@ def n_words(text) -> F.Column:
 
 
 def source_targets(sizes: DataFrame, weights=(1, 2, 3), max_rate: int = 3) -> DataFrame:
-    """(source, size) rows -> one row per source: source, source_size, documents, weight, target.
+    """(source, size) rows -> one row per source: source, source_size, weight, target.
 
     Water filling: with sources ordered by max_rate * size / weight, the ones before the first that stays
     under its limit are at their limit, and the level of the rest is what remains over their weights.
     """
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     per = per.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     per = per.withColumn("weight", F.get(cycle, F.pmod(F.col("place") - 1, F.lit(len(weights)))))
     per = per.withColumn("most", F.col("source_size").cast("double") * max_rate)
@@ -57,7 +57,7 @@ def source_targets(sizes: DataFrame, weights=(1, 2, 3), max_rate: int = 3) -> Da
     fits = F.col("level") * F.col("weight") <= F.col("most")
     per = per.withColumn("level", F.min(F.when(fits, F.struct("used", "level"))).over(whole)["level"])
     target = F.least(F.col("most"), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight"))
-    return per.select("source", "source_size", "documents", "weight", target.alias("target"))
+    return per.select("source", "source_size", "weight", target.alias("target"))
 
 
 def digest(seed: str, *parts) -> F.Column:
@@ -72,11 +72,13 @@ def chance(hexes: F.Column, start: int = 1) -> F.Column:
 
 def mix_sources(docs: DataFrame, weights=(1, 2, 3), max_rate: int = 3, seed: str = "mix") -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, copies."""
-    sized = spill(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    sized = spill(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes").withColumn("class", F.length(F.bin("size")))
     per = source_targets(sized, weights, max_rate).withColumnRenamed("source", "of")
-    rows = sized.join(per, sized.source.eqNullSafe(per.of))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumns({"rate": rate, "hexes": digest(seed, F.col("doc_id")), "class": F.length(F.bin("size"))})
+    classes = sized.groupBy("source", "class").agg(F.count(F.lit(1)).alias("documents"))
+    classes = classes.join(per, classes.source.eqNullSafe(per.of)).select("of", F.col("class").alias("of_class"), "documents", "source_size", "target", rate.alias("rate"))
+    rows = sized.join(classes, sized.source.eqNullSafe(classes.of) & (F.col("class") == F.col("of_class")))
+    rows = rows.withColumn("hexes", digest(seed, F.col("doc_id")))
     rows = rows.withColumn("salt", F.floor(chance(F.col("hexes"), 14) * (1 + F.floor(F.col("documents") / STRATUM))))
     rows = rows.withColumn("rank", F.dense_rank().over(Window.partitionBy("source", "class", "salt").orderBy("hexes")))
     start, part = chance(digest(seed, F.col("source"), F.col("class"), F.col("salt"))), F.col("rate") - F.floor("rate")
@@ -119,7 +121,7 @@ WITH sized AS (
   SELECT s.doc_id, s.size, s.source, a.source_size, a.target,
          CASE WHEN a.source_size > 0 THEN a.target / a.source_size ELSE 0 END AS rate,
          md5('mix:' || coalesce(s.doc_id::VARCHAR, 'null')) AS hexes, length(bin(s.size)) AS class,
-         1 + count(*) OVER (PARTITION BY s.source) // STRATUM AS salts
+         1 + count(*) OVER (PARTITION BY s.source, length(bin(s.size))) // STRATUM AS salts
   FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source
 ), salted AS (
   SELECT *, floor(('0x' || substr(hexes, 14, 13))::BIGINT / 4503599627370496.0::DOUBLE * salts)::BIGINT AS salt FROM rated
