@@ -91,7 +91,8 @@ def repeat_documents(docs: DataFrame, weights=(1, 2, 3), max_rate: int = 3, seed
     taken = mix_sources(docs, weights, max_rate, seed).select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "size", "copies")])
     taken = spill(taken.where("__copies > 0").distinct(), "taken")
     same = docs.doc_id.eqNullSafe(taken["__doc_id"]) & docs.source.eqNullSafe(taken["__source"]) & (n_words(docs.text) == taken["__size"])
-    mixed = docs.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    # ``taken`` grows with the documents, so it is never broadcast, at any size.
+    mixed = docs.join(taken.hint("merge"), same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
     return mixed.select(*[docs[c] for c in docs.columns])
 
 
