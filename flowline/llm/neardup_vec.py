@@ -3,7 +3,8 @@
 In each pass every vector gets ``BITS`` signs of random projections, concatenated to a key; vectors are sorted by
 label and key, and each one is compared with its ``WINDOW`` predecessors. Two vectors at cosine 0.98 agree in one
 sign with probability 0.94, so close vectors keep long common prefixes and are neighbours in some pass. Pairs
-verified in double precision are united, inside the task already: a pass gives at most one link a vector.
+verified in double precision are all united, inside the task already: a block of a pass gives at most one link a
+vector, a spanning forest of all its pairs.
 
 A window is bounded, links aren't: in a dense cluster a vector has more partners than a window holds. So what the
 passes settle are components, and links are then counted exactly: inside each component all blocks of vectors are
@@ -53,8 +54,23 @@ def _keys(batches):
             yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array((signs @ powers).tolist(), pa.list_(pa.int64()))], ["cid", "keys"])
 
 
+def forest(close: np.ndarray, offset: int) -> np.ndarray:
+    """The least column that each column reaches over all pairs of ``close``, whose row i is column ``offset`` + i."""
+    low = np.arange(close.shape[1])
+    i, j = np.nonzero(close)
+    i += offset
+    while True:
+        new = low.copy()
+        np.minimum.at(new, i, low[j])
+        np.minimum.at(new, j, low[i])
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
 def _neighbours(batches):
-    """Compare each row with its predecessors in order; links as (vector, earliest linked vector of the window)."""
+    """Compare each row with its predecessors in order; links as (vector, least vector that it reaches in the block)."""
     held: list = []  # (pass, label, dim), units and ids of the last rows
     for batch in batches:
         if not batch.num_rows:
@@ -64,10 +80,10 @@ def _neighbours(batches):
         cut = np.flatnonzero((passes[1:] != passes[:-1]) | (labels[1:] != labels[:-1]) | (sizes[1:] != sizes[:-1])) + 1
         a, b = [], []
         for start, stop in zip([0, *cut], [*cut, len(ids)], strict=True):
-            for low in range(start, stop, 2048):
-                high = min(stop, low + 2048)
-                part, own = unit(matrix(batch.column("v").slice(low, high - low))), ids[low:high]
-                key, before = (passes[low], labels[low], sizes[low]), 0
+            for at in range(start, stop, 2048):
+                high = min(stop, at + 2048)
+                part, own = unit(matrix(batch.column("v").slice(at, high - at))), ids[at:high]
+                key, before = (passes[at], labels[at], sizes[at]), 0
                 if held and held[0] == key:
                     before = len(held[2])
                     part, own = np.concatenate([held[1], part]), np.concatenate([held[2], own])
@@ -76,12 +92,11 @@ def _neighbours(batches):
                     close = part[x:y] @ part[first:y].T >= LEAST
                     behind = np.arange(x, y)[:, None] - np.arange(first, y)[None, :]
                     close &= (behind > 0) & (behind <= WINDOW)
-                    for i in np.flatnonzero(close.any(axis=1)):
-                        others = np.flatnonzero(close[i])
-                        # the farthest and the nearest partner: together they chain a window's partners
-                        for j in {int(others[0]), int(others[-1])}:
-                            a.append(int(own[x + i]))
-                            b.append(int(own[first + j]))
+                    if close.any():
+                        low = forest(close, x - first)
+                        linked = np.flatnonzero(low != np.arange(len(low)))
+                        a += own[first + linked].tolist()
+                        b += own[first + low[linked]].tolist()
                 held = [key, part[-WINDOW:], own[-WINDOW:]]
         if a:
             yield pa.RecordBatch.from_pydict({"a": a, "b": b})

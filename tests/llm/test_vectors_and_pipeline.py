@@ -73,6 +73,29 @@ def test_links_equal_brute_force(frame, rows, monkeypatch, window, block):
     assert known(got) == known(want) and got.total() == want.total()
 
 
+def stars(groups, copies, dim=64, cosine=0.983, seed=3):
+    """Groups of a centre and copies that are near it, but not near each other."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre = unit(rng.standard_normal((groups, 1, dim)))
+    away = rng.standard_normal((groups, copies, dim))
+    away = unit(away - (away * centre).sum(axis=-1, keepdims=True) * centre)
+    return np.concatenate([centre, cosine * centre + np.sqrt(1 - cosine**2) * away], axis=1)
+
+
+def test_star_groups_are_one_component_each(spark):
+    """Partners of a centre that aren't partners of each other: every verified pair counts, not two a vector."""
+    v = stars(30, 99)
+    n = [int((u @ u.T >= 0.98).sum()) - 100 for u in v]
+    data = [(int(i), x.tolist(), 1) for i, x in zip(np.random.default_rng(0).permutation(3000), v.reshape(3000, 64), strict=True)]
+    got = neardup_vec.link_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()
+    ids = np.array([d[0] for d in data]).reshape(30, 100)
+    component, links = {r.vec_id: r.component_id for r in got}, {r.vec_id: r.n_links for r in got}
+    for own, want in zip(ids.tolist(), n, strict=True):
+        assert {component[i] for i in own} == {min(own)}
+        assert sum(links[i] for i in own) == want
+
+
 def test_search_equals_brute_force(frame, rows):
     """All entries are within reach of a small table's queries, so the neighbours are exact."""
     got = defaultdict(list)
