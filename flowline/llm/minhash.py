@@ -1,8 +1,9 @@
 """Near-duplicate documents by Order MinHash with banded alignment.
 
-A text's words (lower case, split at ASCII white space) give a sequence of shingles of five words; each is labelled
-with its occurrence number, so all elements of a sequence differ. Two texts are similar if, with m shingles aligned
-in order, m / (n1 + n2 - m) reaches 0.8: Jaccard similarity that counts only what keeps its order.
+A text's words (lower case, split at ASCII white space) give a sequence of shingles of five words. Two texts are
+similar if, with m shingles aligned in order (a longest common subsequence), m / (n1 + n2 - m) reaches 0.8: Jaccard
+similarity that counts only what keeps its order. For the sketches each shingle is labelled with its occurrence
+number, so all elements differ; the alignment takes them without labels, as one more refrain renumbers all later ones.
 
 Each of ``SKETCHES`` sketches takes the ``KEPT`` labelled shingles with the lowest hashes and keeps them in text
 order; texts that share a sketch are candidates. At similarity 0.8 one sketch agrees with probability of about
@@ -13,7 +14,9 @@ order; texts that share a sketch are candidates. At similarity 0.8 one sketch ag
   near copies costs one comparison for each text and leader.
 * Where texts of one bucket are still in different components, all pairs across components are compared exactly,
   in blocks of bounded size inside tasks; only links leave a task.
-* Alignment is banded: with d = n1 + n2 - 2m at most (n1 + n2) / 9, shingles further apart than d never match.
+* Where no common shingle repeats, the alignment is a longest increasing subsequence of the matches within a band: with
+  d = n1 + n2 - 2m at most (n1 + n2) / 9, shingles further apart than d never match. Else it is the longest common
+  subsequence of all matches, by bit vectors.
 
 Null texts are in no group (a class each). Texts without words are equal to each other; texts of one to four
 words have one shingle, all their words. Repeated rows and equal doc_ids with other texts are rows of their own;
@@ -38,6 +41,7 @@ WORDS, SIMILAR = 5, 0.8
 SKETCHES, KEPT = 16, 4
 BLOCK, PARTS = 256, 16
 PART = 1 << 19
+CACHE = 1 << 28
 
 _rng = np.random.default_rng(20240229)
 _ODD = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,15 +89,22 @@ def whole_word_hashes(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def labelled_shingles(words: np.ndarray) -> np.ndarray:
-    """Hashes of the shingles in text order, each with its occurrence number mixed in."""
+def shingles(words: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles in text order."""
     n = len(words)
     if n < WORDS:
         return mix((words * _ODD[1 : n + 1]).sum(keepdims=True) + _ODD[20 + n]) if n else words
     s = words[: n - WORDS + 1] * _ODD[1]
     for j in range(1, WORDS):
         s = s + words[j : n - WORDS + 1 + j] * _ODD[1 + j]
-    s = mix(s)
+    return mix(s)
+
+
+def labelled_shingles(words: np.ndarray) -> np.ndarray:
+    """The same, each with its occurrence number mixed in."""
+    s = shingles(words)
+    if len(words) < WORDS:
+        return s
     ordered = np.sort(s)
     if (ordered[1:] == ordered[:-1]).any():
         order = np.argsort(s, kind="stable")
@@ -117,17 +128,17 @@ def sketches(labelled: np.ndarray) -> np.ndarray:
     return mix((labelled[picked] * _ODD[40 : 40 + picked.shape[1]]).sum(axis=1) + _ODD[50]).view(np.int64)
 
 
-def _read(part):
-    """Of each text of a batch: its key (a digest of its words) and its labelled shingles."""
+def _read(part, taken):
+    """Of each text of a batch: its key (a digest of its words) and what is taken of its words."""
     texts = part.column("text").to_pylist()
     for text, words in zip(texts, whole_word_hashes([x or "" for x in texts]), strict=True):
-        yield None if text is None else hashlib.blake2b(words.tobytes(), digest_size=16).digest(), labelled_shingles(words)
+        yield None if text is None else hashlib.blake2b(words.tobytes(), digest_size=16).digest(), taken(words)
 
 
 def _signatures(batches):
     for part in slices(batches, 512):
         keys, count, drawn = [], [], []
-        for key, labelled in _read(part):
+        for key, labelled in _read(part, labelled_shingles):
             keys.append(key)
             count.append(len(labelled))
             drawn.append(sketches(labelled) if len(labelled) else [])
@@ -136,12 +147,48 @@ def _signatures(batches):
 
 def _shingles(batches):
     for part in slices(batches, 512):
-        keys, found = zip(*_read(part), strict=True)
+        keys, found = zip(*_read(part, shingles), strict=True)
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), pa.array([x.astype(np.uint32).tobytes() for x in found], pa.binary())], ["doc_id", "key", "shingles"])
 
 
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence; bit i of ``row`` is 0 where a[i] adds one to it."""
+    a, b = a[np.isin(a, b)], b[np.isin(b, a)]
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    start = int(differ[0]) if len(differ) else n
+    differ = np.flatnonzero(a[len(a) - n + start :][::-1] != b[len(b) - n + start :][::-1])
+    stop = int(differ[0]) if len(differ) else n - start
+    a, b = a[start : len(a) - stop], b[start : len(b) - stop]
+    if not len(a) or not len(b):
+        return start + stop
+    order = np.argsort(a, kind="stable")
+    values, at = np.unique(a[order], return_index=True)
+    places = dict(zip(values.tolist(), np.split(order, at[1:]), strict=True))
+    known: dict[int, int] = {}  # bits of repeated shingles, bounded in all
+
+    def bits(value: int) -> int:
+        own = places.get(value, ())
+        if len(own) < 2:
+            return 1 << int(own[0]) if len(own) else 0
+        if value not in known:
+            if len(known) * len(a) > CACHE:
+                known.clear()
+            flags = np.zeros(int(own[-1]) + 1, dtype=np.uint8)
+            flags[own] = 1
+            known[value] = int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+        return known[value]
+
+    every = (1 << len(a)) - 1
+    row = every
+    for value in b.tolist():
+        hits = row & bits(value)
+        row = ((row + hits) | (row - hits)) & every
+    return start + stop + len(a) - row.bit_count()
+
+
 def aligned(a: np.ndarray, sorted_b: np.ndarray, order_b: np.ndarray) -> int:
-    """How many shingles of two sequences align in order, within the band; 0 if they can't be similar enough."""
+    """How many shingles of two sequences align in order; fewer, if they can't be similar enough."""
     n1, n2 = len(a), len(order_b)
     least = SIMILAR / (1 + SIMILAR) * (n1 + n2) - 1e-9
     if min(n1, n2) < least:
@@ -150,6 +197,10 @@ def aligned(a: np.ndarray, sorted_b: np.ndarray, order_b: np.ndarray) -> int:
     hit = np.flatnonzero(sorted_b[at] == a)
     if len(hit) < least:
         return 0
+    if (sorted_b[1:] == sorted_b[:-1]).any() or len(np.unique(a[hit])) < len(hit):
+        b = np.empty_like(sorted_b)
+        b[order_b] = sorted_b
+        return common(a, b)
     there = order_b[at[hit]]
     there = there[np.abs(there - hit) <= (n1 + n2) - 2 * least]
     if len(there) < 2 or (there[1:] > there[:-1]).all():

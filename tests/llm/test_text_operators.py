@@ -300,6 +300,37 @@ def test_similarity_in_band():
         assert minhash.similar(a, b) == (len(tails) / (len(a) + len(b) - len(tails)) >= 0.8 - 1e-9)
 
 
+def longest_common(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, best[j] = best[j], last + 1 if x == y else max(best[j], best[j - 1])
+    return best[-1]
+
+
+def test_alignment_of_repeated_shingles():
+    rng = np.random.default_rng(2)
+    for _ in range(400):
+        a = rng.integers(0, rng.integers(1, 40), rng.integers(1, 90)).astype(np.uint32)
+        b = np.insert(np.delete(a, rng.integers(0, len(a), rng.integers(0, 8))), 0, rng.integers(0, 9, rng.integers(1, 9))).astype(np.uint32)
+        m = longest_common(a.tolist(), b.tolist())
+        assert minhash.common(a, b) == m
+        assert minhash.similar(a, b) == (m / (len(a) + len(b) - m) >= 0.8 - 1e-9)
+
+
+def test_one_more_refrain(spark):
+    """A repeated line more, in front, renumbers all its later occurrences."""
+    rng = random.Random(6)
+    rows = []
+    for k, size in enumerate((5, 10, 20, 40) * 5):
+        refrain = " ".join(f"r{rng.randrange(10**6)}" for _ in range(20))
+        song = " ".join(" ".join(f"v{rng.randrange(10**6)}" for _ in range(size)) + " " + refrain for _ in range(30))
+        rows += [(2 * k, song), (2 * k + 1, refrain + " " + song)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i in range(40)}
+
+
 # --- repeated byte strings ---
 
 
