@@ -11,16 +11,21 @@ order; texts that share a sketch are candidates. At similarity 0.8 one sketch ag
 
 * Texts with equal words are one class at once (a hot group of copies is pre-aggregated to one row).
 * In each bucket of equal sketches every text is compared with the bucket's first text only, so a large group of
-  near copies costs one comparison for each text and leader.
-* Where texts of one bucket are still in different components, all pairs across components are compared exactly,
-  in blocks of bounded size inside tasks; only links leave a task.
+  near copies costs one comparison for each text and leader. Where a bucket's texts are then still in several
+  components, the one with the most links leads a second round.
+* What is then still open is settled exactly. A text none of whose possible partners could share enough of its
+  shingles, as too many occur in no other open text, is closed. In what is left of a bucket, texts outside its
+  largest component (queries) are compared with all texts of other components (entries), in tasks: blocks of
+  ``BLOCK`` queries are held while parts of ``BLOCK`` entries stream past, so no row is copied in a bucket of up
+  to ``BLOCK`` texts, and only links leave a task.
 * Where no common shingle repeats, the alignment is a longest increasing subsequence of the matches within a band: with
   d = n1 + n2 - 2m at most (n1 + n2) / 9, shingles further apart than d never match. Else it is the longest common
   subsequence of all matches, by bit vectors.
 
 Null texts are in no group (a class each). Texts without words are equal to each other; texts of one to four
-words have one shingle, all their words. Repeated rows and equal doc_ids with other texts are rows of their own;
-a null doc_id never names a class with other rows.
+words have one shingle, all their words. Repeated rows and equal doc_ids with other texts are rows of their own.
+A row with a null doc_id links like any other; it names a class (null) only if all doc_ids of the class are null.
+An empty table gives an empty result. Extra columns are ignored, and kept as they are by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -39,7 +44,7 @@ from .components import components
 
 WORDS, SIMILAR = 5, 0.8
 SKETCHES, KEPT = 16, 4
-BLOCK, PARTS = 256, 16
+BLOCK = 512
 PART = 1 << 19
 CACHE = 1 << 28
 
@@ -142,13 +147,21 @@ def _signatures(batches):
             keys.append(key)
             count.append(len(labelled))
             drawn.append(sketches(labelled) if len(labelled) else [])
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(count, pa.int32()), pa.array(drawn, pa.list_(pa.int64()))], ["doc_id", "key", "n", "sketches"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(keys, pa.binary()), pa.array(count, pa.int32()), pa.array(drawn, pa.list_(pa.int64()))], ["doc_id", "th", "key", "n", "sketches"])
 
 
 def _shingles(batches):
     for part in slices(batches, 512):
         keys, found = zip(*_read(part, shingles), strict=True)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), pa.array([x.astype(np.uint32).tobytes() for x in found], pa.binary())], ["doc_id", "key", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], ["key", "shingles"])
+
+
+def _different_shingles(batches):
+    """Each different shingle of a text, and how often it is there."""
+    for part in slices(batches, 512):
+        for key, raw in zip(part.column("key").to_pylist(), part.column("shingles").to_pylist(), strict=True):
+            own, times = np.unique(np.frombuffer(raw, dtype=np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([key] * len(own), pa.binary()), pa.array(times.astype(np.int32))], ["shingle", "key", "times"])
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -227,108 +240,182 @@ def _verify(batches):
             if key not in known:
                 if len(known) >= 64:
                     known.clear()
-                other = np.frombuffer(y, dtype=np.uint32)
+                other = np.frombuffer(y, dtype=np.uint64)
                 order = np.argsort(other)
                 known[key] = (other[order], order)
-            mine = np.frombuffer(x, dtype=np.uint32)
+            mine = np.frombuffer(x, dtype=np.uint64)
             total = len(mine) + len(known[key][1])
             keep.append(aligned(mine, *known[key]) >= SIMILAR / (1 + SIMILAR) * total - 1e-9)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"]).filter(pa.array(keep))
 
 
-def _links_across(rows: list[dict]) -> list[tuple[bytes, bytes]]:
-    """Links between rows with different labels; a pair counts in the first bucket its rows share."""
-    out, rows = [], sorted(rows, key=lambda r: r["n"])
-    seqs = [np.frombuffer(r["shingles"], dtype=np.uint32) for r in rows]
-    drawn, blocks = np.array([r["sketches"] for r in rows]), np.array([r["block"] for r in rows])
-    labels, n = np.array([r["label"] for r in rows], dtype=object), np.array([r["n"] for r in rows])
-    band, (i, j) = rows[0]["band"], (rows[0]["i"], rows[0]["j"])
-    for x in range(len(rows)):
-        near = np.arange(x + 1, int(np.searchsorted(n, n[x] / SIMILAR + 1e-9, side="right")))
-        near = near[(blocks[near] != blocks[x]) if i != j else np.ones(len(near), dtype=bool)]
-        near = near[labels[near] != labels[x]]
-        near = near[~(drawn[near][:, :band] == drawn[x][:band]).any(axis=1)]
-        if not len(near):
-            continue
-        order = np.argsort(seqs[x])
-        mine = seqs[x][order]
-        for y in near.tolist():
-            if labels[y] != labels[x] and aligned(seqs[y], mine, order) >= SIMILAR / (1 + SIMILAR) * (n[x] + n[y]) - 1e-9:
-                out.append((rows[x]["key"], rows[y]["key"]))
-                labels[labels == labels[y]] = labels[x]
-    return out
+LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
-def _rest(batches):
-    key, held = None, []
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+class _Open:
+    """Held queries of one bucket, that entries stream past; labels change as links are found."""
+
+    def __init__(self, band: int):
+        self.band, self.rows, self.names = band, [], {}
+        self.n = np.zeros(0)
 
-    def out():
-        found = _links_across(held)
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], schema=schema)
+    def label(self, component: bytes) -> int:
+        return self.names.setdefault(component, len(self.names))
 
+    def hold(self, row: dict) -> None:
+        own = np.frombuffer(row["shingles"], dtype=np.uint64)
+        order = np.argsort(own)
+        self.rows.append((row["key"], own[order], order, self.label(row["label"]), row["n"], row["sketches"]))
+
+    def links(self, row: dict) -> list[tuple[bytes, bytes]]:
+        if not len(self.n):
+            self.labels = np.array([r[3] for r in self.rows])
+            self.n, self.drawn = np.array([r[4] for r in self.rows], dtype=float), np.array([r[5] for r in self.rows])
+        key, n, mine, out = row["key"], row["n"], self.label(row["label"]), []
+        near = (self.labels != mine) & (np.minimum(self.n, n) >= SIMILAR * np.maximum(self.n, n) - 1e-9)
+        # A pair counts in the first bucket that it shares.
+        near &= ~(self.drawn[:, : self.band] == np.array(row["sketches"])[: self.band]).any(axis=1)
+        shingles = np.frombuffer(row["shingles"], dtype=np.uint64)
+        for i in np.flatnonzero(near).tolist():
+            other, ordered, order, *_ = self.rows[i]
+            if self.labels[i] == mine or (row["asks"] and other > key):
+                continue
+            if aligned(shingles, ordered, order) >= SIMILAR / (1 + SIMILAR) * (self.n[i] + n) - 1e-9:
+                out.append((key, other))
+                old = self.labels[i]
+                self.labels[self.labels == old] = mine
+                self.names = {c: mine if x == old else x for c, x in self.names.items()}
+        return out
+
+
+def _rest(batches):
+    """Rows by bucket, block of queries and part of entries, the queries first."""
+    at, held = None, None
     for part in slices(batches, 512):
+        found = []
         for row in part.to_pylist():
-            now = (row["band"], row["h"], row["i"], row["j"])
-            if now != key:
-                if held:
-                    yield out()
-                key, held = now, []
-            held.append(row)
-    if held:
-        yield out()
+            now = (row["band"], row["h"], row["block"], row["part"])
+            if now != at:
+                at, held = now, _Open(row["band"])
+            if row["held"]:
+                held.hold(row)
+            else:
+                found += held.links(row)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], schema=LINKS)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id and class_id, the smallest doc_id of its group of near copies."""
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    signed = spill(docs.mapInArrow(_signatures, "doc_id long, key binary, n int, sketches array<long>"), "signed")
-    copies = spill(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("sketches").alias("sketches")), "copies")
+def _rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with what names a row: a hash of its text, and its doc_id as two columns without nulls."""
+    return docs.withColumns({"__th": F.xxhash64("text"), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__none": F.col("doc_id").isNull()})
+
+
+def _named_by(at: str) -> list:
+    return [F.col(f"{at}.th").alias("__th"), F.coalesce(f"{at}.doc_id", F.lit(0)).alias("__id"), F.col(f"{at}.doc_id").isNull().alias("__none")]
+
+
+def _verified(pairs: DataFrame, shingles: DataFrame, name: str) -> DataFrame:
+    side = lambda c: shingles.select(F.col("key").alias(c), F.col("shingles").alias(f"s{c}"))
+    return spill(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_verify, "a binary, b binary"), name)
+
+
+def _labelled(live: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of buckets with the component of their text, of buckets with several components only."""
+    named = live.join(known, F.col("key") == F.col("vertex"), "left").drop("vertex").withColumn("label", F.coalesce("component", "key")).drop("component")
+    open_ = named.groupBy("band", "h").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 != l2").select("band", "h")
+    return named.join(open_, ["band", "h"])
+
+
+def _led(named: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs of each bucket's text of most links with those of other components, and the rows without these leaders."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("of")).groupBy("of").agg(F.count(F.lit(1)).alias("degree"))
+    ranked = named.join(degree, F.col("key") == F.col("of"), "left").withColumn("rank", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.xxhash64("key").alias("x"), F.col("key").alias("leader"), F.col("label").alias("led")))
+    leaders = ranked.groupBy("band", "h").agg(F.max("rank").alias("top")).select("band", "h", "top.leader", "top.led")
+    rows = spill(named.join(leaders, ["band", "h"]).where("key != leader"), "led")
+    return rows.where("label != led").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct(), rows.select("band", "h", "key")
+
+
+def _able(named: DataFrame, copies: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Keys of the texts that could be similar to some text of their open buckets, by what they share with any."""
+    sized = named.select("band", "h", "key").join(copies.select("key", "n"), "key")
+    low = sized.groupBy("band", "h").agg(F.min("n").alias("low"))
+    texts = spill(sized.join(low, ["band", "h"]).groupBy("key").agg(F.min("n").alias("n"), F.min("low").alias("low")), "open")
+    each = shingles.join(texts.select("key"), "key", "left_semi").mapInArrow(_different_shingles, "shingle long, key binary, times int")
+    alone = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("key").alias("key"), F.min("times").alias("times")).where("texts = 1")
+    alone = alone.groupBy("key").agg(F.sum("times").alias("alone"))
+    most = F.col("n") - F.coalesce("alone", F.lit(0))
+    least = SIMILAR / (1 + SIMILAR) * (F.col("n") + F.greatest(F.col("low"), SIMILAR * F.col("n"))) - 1e-9
+    return texts.join(alone, "key", "left").where(most >= least).select("key")
+
+
+def _across(named: DataFrame, copies: DataFrame, shingles: DataFrame) -> DataFrame:
+    """The rows for ``_rest``: of each bucket, texts outside its largest component as queries, all as entries."""
+    per = named.groupBy("band", "h", "label").agg(F.count(F.lit(1)).alias("c"))
+    per = per.groupBy("band", "h").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top")).where("all > top.c")
+    per = per.select("band", "h", F.ceil(F.col("all") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("blocks"), F.col("top.label").alias("largest"))
+    rows = named.join(per, ["band", "h"]).withColumn("asks", F.col("label") != F.col("largest")).withColumn("x", F.xxhash64("key", F.lit("block")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    share = lambda n: F.pmod("x", n).cast("int")
+    own = ["band", "h", "key", "label", "asks"]
+    entries = rows.select(*own, every("blocks").alias("block"), share("parts").alias("part"), F.lit(False).alias("held"))
+    queries = rows.where("asks").select(*own, share("blocks").alias("block"), every("parts").alias("part"), F.lit(True).alias("held"))
+    rows = entries.union(queries).join(copies.select("key", "n", "sketches"), "key").join(shingles, "key")
+    at = ["band", "h", "block", "part"]
+    return rows.repartition(*at).sortWithinPartitions(*at, F.desc("held"))
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, th, key), and of each key the least row of its class: key, head (doc_id, key, th; null ids last)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = rows.withColumn("th", F.xxhash64("text")).mapInArrow(_signatures, "doc_id long, th long, key binary, n int, sketches array<long>")
+    signed = spill(signed, "signed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("at")
+    copies = spill(signed.where("key is not null").groupBy("key").agg(first, F.min("n").alias("n"), F.min("sketches").alias("sketches")), "copies")
 
     buckets = copies.where("n > 0").select("key", F.posexplode("sketches").alias("band", "h"))
-    heads = buckets.groupBy("band", "h").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    heads = buckets.groupBy("band", "h").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     shared = spill(buckets.join(heads, ["band", "h"]), "buckets")  # texts in buckets of two and more
     pairs = spill(shared.where("key != head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
-    # Shingles are read anew, as what is shuffled of all texts, and kept for the texts of some pair only.
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().join(copies, F.col("a") == F.col("key")).select("key", F.col("first").alias("doc_id"))
-    shingles = docs.mapInArrow(_shingles, "doc_id long, key binary, shingles binary").join(wanted, ["key", "doc_id"])
-    shingles = spill(shingles.dropDuplicates(["key"]).select("key", "shingles"), "shingles")
-    side = lambda c: shingles.select(F.col("key").alias(c), F.col("shingles").alias(f"s{c}"))
-    links = spill(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_verify, "a binary, b binary"), "near")
-
-    # Buckets whose texts are in several components: compare across them, in blocks.
-    known = components(links)
-    named = shared.join(known, F.col("key") == F.col("vertex"), "left").select("band", "h", "size", "key", F.coalesce("component", "key").alias("label"))
-    split = named.groupBy("band", "h").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 != l2 ").select("band", "h")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    # A large group's bucket holds many rows that this join may drop, so it is dealt in parts.
-    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
-    named = named.withColumn("part", F.pmod(F.xxhash64("key", F.lit("part")), F.lit(PARTS)).cast("int"))
-    open_ = named.join(split.withColumn("part", parts), ["band", "h", "part"]).where("size > 2").withColumn("blocks", blocks)
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    open_ = open_.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    open_ = open_.join(shingles, "key").join(copies.select("key", "n", "sketches"), "key")
-    open_ = open_.select("band", "h", "i", "j", "block", "key", "label", "n", "sketches", "shingles")
-    open_ = open_.repartition("band", "h", "i", "j").sortWithinPartitions("band", "h", "i", "j", "n")
-    more = spill(open_.mapInArrow(_rest, "a binary, b binary"), "across")
+    # Of paired texts one row each is read anew for its shingles.
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().join(copies, F.col("a") == F.col("key")).select(*_named_by("at"))
+    texts = _rows(rows).join(wanted, ["__th", "__id", "__none"], "left_semi").select("text")
+    shingles = spill(texts.mapInArrow(_shingles, "key binary, shingles binary").dropDuplicates(["key"]), "shingles")
+
+    links = _verified(pairs, shingles, "near")
+    known = spill(components(links), "known")
+    open_ = _labelled(shared.where("key != head").select("band", "h", "key"), known)
+    pairs, live = _led(open_, links)
+    links = links.union(_verified(pairs, shingles, "led"))
+    known = spill(components(links), "known")
+    open_ = _labelled(live, known)
+    open_ = spill(_labelled(open_.drop("label").join(_able(open_, copies, shingles), "key", "left_semi"), known), "open")
+    more = spill(_across(open_, copies, shingles).mapInArrow(_rest, "a binary, b binary"), "across")
     if not more.isEmpty():
         known = components(links.union(more))
 
-    grouped = copies.join(known, F.col("key") == F.col("vertex"), "left").select("key", "first", F.coalesce("component", "key").alias("component"))
+    grouped = copies.join(known, F.col("key") == F.col("vertex"), "left").select("key", F.struct("at.none", "at.doc_id", "key", "at.th").alias("at"), F.coalesce("component", "key").alias("component"))
     grouped = spill(grouped, "grouped")
-    least = grouped.groupBy("component").agg(F.min("first").alias("class_id"))
-    classes = grouped.join(least, "component").select(F.col("key").alias("of"), "class_id")
-    return signed.join(classes, F.col("key") == F.col("of"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    least = grouped.groupBy("component").agg(F.min("at").alias("head"))
+    return signed, grouped.join(least, "component").select("key", "head")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id and class_id, the smallest doc_id of its group of near copies."""
+    signed, classes = _classes(docs)
+    classes = classes.select(F.col("key").alias("of"), F.col("head.doc_id").alias("class_id"))
+    found = signed.join(classes, F.col("key") == F.col("of"), "left")
+    return found.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near copies: the one of the smallest doc_id.
+    """``docs`` with one row of each group of near copies: one of the smallest doc_id (null ids last).
 
-    Of rows equal in doc_id and text one stays. Rows with a null doc_id can't be named and all stay.
+    Of rows equal in doc_id and text one stays. Rows with null texts are in no group and all stay.
     """
-    classes = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(classes, "doc_id", "left_semi")
-    once = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("doc_id"))
-    kept = kept.withColumn("__once", once).where("__once = 1").select(*docs.columns)
-    return kept.union(docs.where("doc_id is null"))
+    _, classes = _classes(docs)
+    heads = classes.select("head").distinct().select(*_named_by("head"))
+    at = ["__th", "__id", "__none"]
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
+    kept = _rows(whole.where("text is not null")).join(heads, at, "left_semi")
+    kept = kept.withColumn("__nth", F.row_number().over(Window.partitionBy(*at).orderBy("__th"))).where("__nth = 1")
+    return kept.select("__row.*").union(docs.where(F.col("text").isNull()))

@@ -255,6 +255,86 @@ def test_near_duplicates_of_odd_rows(odd):
     assert Counter(r.doc_id for r in kept.collect() if r.doc_id is not None) == Counter({d for d, c in want.items() if d == c})
 
 
+def edited(words, rng, edits):
+    out = list(words)
+    for k in rng.sample(range(len(out)), edits):
+        out[k] = f"n{rng.randrange(10**9)}"
+    return " ".join(out)
+
+
+def family(seed, copies, size=150):
+    """Copies of one text with none to six words changed: some link, some only to few, some to nothing."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+    return [(i, edited(base, rng, rng.randrange(7))) for i in range(copies)]
+
+
+def exact_classes(rows):
+    """Components over all pairs by longest common subsequence; words of a text differ, so it is an increasing one."""
+    seqs = [minhash.shingles(w) for w in minhash.whole_word_hashes([t for _, t in rows])]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if root(i) != root(j) and minhash.similar(seqs[i], seqs[j]):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return {d: rows[root(i)][0] for i, (d, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_families_of_many_edits(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rows = family(1, 160) + [(1000 + i, t) for i, t in family(2, 90)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.class_id for r in got} == exact_classes(rows)
+
+
+def test_rows_to_compare_grow_with_the_group(spark, monkeypatch):
+    """Twice the near copies give about twice the rows in the last, exact step."""
+    made = []
+    across = minhash._across
+
+    def counted(*args):
+        out = across(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "_across", counted)
+    for n in (250, 500, 1000):
+        minhash.near_duplicates(spark.createDataFrame(family(3, n), "doc_id long, text string")).count()
+    assert made[1] <= 2.2 * max(made[0], 500) and made[2] <= 2.2 * max(made[1], 500)
+
+
+def test_null_ids_link(spark):
+    """A text whose only doc_id is null links, and chains pass through it."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    texts = []
+    for i in range(3):
+        texts.append(" ".join(words))
+        words[10 + 30 * i] = words[11 + 30 * i] = f"n{i}"
+    rows = [(7, texts[0]), (None, texts[1]), (5, texts[2]), (None, "alone " * 9), (None, None), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, minhash.near_duplicates(docs).collect()))
+    assert got == Counter({(7, 5): 1, (None, 5): 1, (5, 5): 1, (None, None): 2, (9, 9): 1})
+    assert Counter(map(tuple, minhash.drop_near_duplicates(docs).collect())) == Counter([rows[2], rows[3], rows[4], rows[5]])
+
+
+def test_kept_rows_are_named_by_id_and_text(spark):
+    """A near copy goes even if a kept row has its doc_id; columns of any name stay as they are."""
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23 24 25 26 27 28 29 30"
+    rows = [(1, near, 7.5, "x", 3), (2, near + " 31", 8.5, "y", 4), (2, None, 9.5, "z", 5), (2, "other text", 1.5, "w", 6), (1, near, 7.5, "x", 3), (3, near.upper(), 0.5, "v", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __nth double, __row string, __th int")
+    kept = minhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert Counter(map(tuple, kept.collect())) == Counter([rows[0], rows[2], rows[3]])
+
+
 def test_near_duplicates_small_table(spark, small):
     docs = table(spark, small, "documents")
     rows = [(r.doc_id, r.text) for r in docs.collect() if len(r.text) < 6000]
