@@ -2,35 +2,37 @@
 
 Tokens are counted per document and summed per source; each source gets a target by its weight, no more than
 ``max_rate`` times its own size, and the excess is shared again by weight. A source's repetition rate is
-target / size. Every document is emitted floor(rate) times plus once more with probability equal to the fraction.
+target / size. Every document is emitted floor(rate) times plus once more with probability equal to the fraction: a
+Bernoulli draw, a hash of seed and doc_id below the fraction.
 
-The draws are seeded by hashes, so reruns agree, and they are systematic: the documents of a source and size class
-(powers of two), in the order of their hashes, step through [0, 1) by the fraction from a hashed start, and each one
-that passes a whole number is taken. A document's chance is the fraction, as with draws of its own, but a class's sum
-has one document too many or too few at most. Over sources of 2,500 documents the mix is within 1.1 % of its targets,
-where independent draws were off by up to 9 %.
+Single draws leave a source off its target by chance, by much where few documents hold most of its words. So the draw
+is made with ``SEEDS`` seeds at once, and each source keeps the seed whose sum comes nearest to its target. Every seed is
+a whole set of independent draws; which one is kept depends on the data and on nothing else, so reruns agree.
 
-All of it is DataFrame work. Sources are pre-aggregated before the shuffle; the only global order is over one row
-per source. Classes with many documents are salted, so a hot source's classes are spread over tasks.
+All of it is DataFrame work. Sums by source and seed are pre-aggregated before the shuffle; sources are placed and
+filled up by range-partitioned running sums, so they may be many; documents meet their source's row in a join on source
+and a salt, so a hot source is spread over tasks (Spark broadcasts that table where its size allows).
 
 Null texts have size 0; a null source is a source of its own and comes last; a source without words gets
 target 0; repeated rows share their draw, so they are taken alike; a null doc_id hashes as the text ``null``. An
-empty table gives an empty result.
+empty table gives an empty result. Extra columns are ignored by ``mix_sources`` and kept, whatever their names, by
+``repeat_documents``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ordinal import with_position, with_running
 from .common import spill
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-
-
-#: Documents for each salt of a source's size class.
-STRATUM = 1_000
+#: Seeds that each source chooses from, a multiple of 4: a digest gives four draws of 32 bits.
+SEEDS = 32
+#: Parts of a source in the join that gives documents their rate.
+SALTS = 32
 
 
 def n_words(text) -> F.Column:
@@ -44,56 +46,63 @@ def source_targets(sizes: DataFrame, weights=(1, 2, 3), max_rate: int = 3) -> Da
     under its limit are at their limit, and the level of the rest is what remains over their weights.
     """
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    per = per.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    per = per.withColumn("weight", F.get(cycle, F.pmod(F.col("place") - 1, F.lit(len(weights)))))
-    per = per.withColumn("most", F.col("source_size").cast("double") * max_rate)
-    before = Window.orderBy(F.col("most") / F.col("weight"), "place").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("spent", F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-    per = per.withColumn("used", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    left = F.sum("source_size").over(whole).cast("double") - F.col("spent")
-    per = per.withColumn("level", left / (F.sum("weight").over(whole) - F.col("used")))
-    fits = F.col("level") * F.col("weight") <= F.col("most")
-    per = per.withColumn("level", F.min(F.when(fits, F.struct("used", "level"))).over(whole)["level"])
-    target = F.least(F.col("most"), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("none", F.col("source").isNull())
+    per = with_position(per, ["none", "source"], "place").withColumn("weight", F.get(cycle, F.pmod("place", F.lit(len(weights)))))
+    per = per.withColumn("most", F.col("source_size") * max_rate).withColumn("full", F.col("most") / F.col("weight"))
+    per = with_running(per, ["full", "place"], {"spent": ("sum", F.col("most")), "used": ("sum", F.col("weight"))}, "nth")
+    per = spill(per.withColumns({"spent": F.col("spent") - F.col("most"), "used": F.col("used") - F.col("weight")}), "sources")
+    total, whole = per.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(float(total or 0)) - F.col("spent")) / (F.lit(whole) - F.col("used"))
+    first = per.where(level * F.col("weight") <= F.col("most")).agg(F.min(F.struct("used", level.alias("level"))).alias("x")).first().x
+    target = F.least(F.col("most").cast("double"), F.lit(first.level if first else 0.0) * F.col("weight"))
     return per.select("source", "source_size", "weight", target.alias("target"))
 
 
-def digest(seed: str, *parts) -> F.Column:
-    """Hex digits that depend on seed and values only."""
-    return F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]))
+def drawn(seed: str, doc_id, number) -> F.Column:
+    """The eight hex digits that a document draws with a seed's number."""
+    text = F.concat(F.lit(seed), F.floor(number / 4).cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+    return F.substring(F.md5(text), F.pmod(number, F.lit(4)).cast("int") * 8 + 1, F.lit(8))
+
+
+def mix_plan(sized: DataFrame, weights=(1, 2, 3), max_rate: int = 3, seed: str = "mix") -> DataFrame:
+    """(doc_id, source, size) rows -> one row per source: source, source_size, target, whole copies, limit of draws, number of the seed."""
+    per = source_targets(sized, weights, max_rate)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    per = per.withColumn("whole", F.floor(rate)).withColumn("limit", F.lower(F.lpad(F.hex(F.floor((rate - F.floor(rate)) * float(1 << 32))), 8, "0")))
+    per = spill(per.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")), "rates")
+    rows = _meet(sized.select("doc_id", "source", "size"), per.select("source", "limit"))
+    sums = [F.sum(F.when(drawn(seed, F.col("doc_id"), F.lit(k)) < F.col("limit"), F.col("size")).otherwise(0)) for k in range(SEEDS)]
+    sums = rows.groupBy("source").agg(F.array(*sums).alias("sums")).withColumnRenamed("source", "of")
+    near = F.array_min(F.transform("sums", lambda x, k: F.struct(F.abs(x - F.col("need")).alias("off"), k.alias("k"))))
+    per = per.join(sums, per.source.eqNullSafe(sums.of))
+    return spill(per.select("source", "source_size", "target", "whole", "limit", near["k"].alias("number")), "mix")
+
 
+def _meet(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """Rows with the columns of their source's row; both sides salted."""
+    of = per.withColumnRenamed("source", "__of").withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
+    return rows.join(of, rows.source.eqNullSafe(of["__of"]) & (F.col("__salt") == F.col("__part"))).drop("__of", "__part", "__salt")
 
-def chance(hexes: F.Column, start: int = 1) -> F.Column:
-    """A number in [0, 1) of 13 hex digits."""
-    return F.conv(F.substring(hexes, start, 13), 16, 10).cast("double") / float(1 << 52)
+
+def _copies(seed: str) -> F.Column:
+    return (F.col("whole") + (drawn(seed, F.col("doc_id"), F.col("number")) < F.col("limit")).cast("long")).cast("long")
 
 
 def mix_sources(docs: DataFrame, weights=(1, 2, 3), max_rate: int = 3, seed: str = "mix") -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, copies."""
-    sized = spill(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes").withColumn("class", F.length(F.bin("size")))
-    per = source_targets(sized, weights, max_rate).withColumnRenamed("source", "of")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    classes = sized.groupBy("source", "class").agg(F.count(F.lit(1)).alias("documents"))
-    classes = classes.join(per, classes.source.eqNullSafe(per.of)).select("of", F.col("class").alias("of_class"), "documents", "source_size", "target", rate.alias("rate"))
-    rows = sized.join(classes, sized.source.eqNullSafe(classes.of) & (F.col("class") == F.col("of_class")))
-    rows = rows.withColumn("hexes", digest(seed, F.col("doc_id")))
-    rows = rows.withColumn("salt", F.floor(chance(F.col("hexes"), 14) * (1 + F.floor(F.col("documents") / STRATUM))))
-    rows = rows.withColumn("rank", F.dense_rank().over(Window.partitionBy("source", "class", "salt").orderBy("hexes")))
-    start, part = chance(digest(seed, F.col("source"), F.col("class"), F.col("salt"))), F.col("rate") - F.floor("rate")
-    more = F.floor(start + F.col("rank") * part) - F.floor(start + (F.col("rank") - 1) * part)
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.floor("rate") + more).cast("long").alias("copies"))
+    sized = spill(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    rows = _meet(sized, mix_plan(sized, weights, max_rate, seed))
+    return rows.select("doc_id", "source", "size", "source_size", "target", _copies(seed).alias("copies"))
 
 
 def repeat_documents(docs: DataFrame, weights=(1, 2, 3), max_rate: int = 3, seed: str = "mix") -> DataFrame:
     """The mix itself: every document of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    taken = mix_sources(docs, weights, max_rate, seed).select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "size", "copies")])
-    taken = spill(taken.where("__copies > 0").distinct(), "taken")
-    same = docs.doc_id.eqNullSafe(taken["__doc_id"]) & docs.source.eqNullSafe(taken["__source"]) & (n_words(docs.text) == taken["__size"])
-    # ``taken`` grows with the documents, so it is never broadcast, at any size.
-    mixed = docs.join(taken.hint("merge"), same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return mixed.select(*[docs[c] for c in docs.columns])
+    size = n_words(F.col("text")).alias("size")
+    plan = mix_plan(spill(docs.select("doc_id", "source", size), "sizes"), weights, max_rate, seed)
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), "doc_id", "source", F.length("text").alias("size"))
+    mixed = _meet(whole, plan).withColumn("copies", _copies(seed)).where("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
 
 
 ORACLE = r"""
@@ -119,19 +128,16 @@ WITH sized AS (
 ), aimed AS (
   SELECT source, source_size, least(most, coalesce(level, 0.0) * weight) AS target FROM summed, level
 ), rated AS (
-  SELECT s.doc_id, s.size, s.source, a.source_size, a.target,
-         CASE WHEN a.source_size > 0 THEN a.target / a.source_size ELSE 0 END AS rate,
-         md5('mix:' || coalesce(s.doc_id::VARCHAR, 'null')) AS hexes, length(bin(s.size)) AS class,
-         1 + count(*) OVER (PARTITION BY s.source, length(bin(s.size))) // STRATUM AS salts
-  FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source
-), salted AS (
-  SELECT *, floor(('0x' || substr(hexes, 14, 13))::BIGINT / 4503599627370496.0::DOUBLE * salts)::BIGINT AS salt FROM rated
-), placed AS (
-  SELECT *, rate - floor(rate) AS part, dense_rank() OVER (PARTITION BY source, class, salt ORDER BY hexes) AS rank,
-         ('0x' || substr(md5('mix:' || coalesce(source, 'null') || ':' || class || ':' || salt), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS start
-  FROM salted
+  SELECT *, floor(rate) AS whole, format('{:08x}', floor((rate - floor(rate)) * 4294967296.0::DOUBLE)::BIGINT) AS limit_, target - floor(rate) * source_size AS need
+  FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM aimed)
+), drawn AS (
+  SELECT s.doc_id, s.size, s.source, r.source_size, r.target, r.whole, r.need, k.k,
+         (substr(md5('mix' || (k.k // 4) || ':' || coalesce(s.doc_id::VARCHAR, 'null')), (1 + k.k % 4 * 8)::INTEGER, 8) < r.limit_)::BIGINT AS hit
+  FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source, range(SEEDS) k(k)
+), chosen AS (
+  SELECT source, k FROM (SELECT source, k, sum(size * hit) AS took, any_value(need) AS need FROM drawn GROUP BY source, k)
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(took - need), k) = 1
 )
-SELECT doc_id, size, source_size, target,
-       (size * (floor(rate) + floor(start + rank * part) - floor(start + (rank - 1) * part)))::BIGINT AS taken
-FROM placed
-""".replace("STRATUM", str(STRATUM))
+SELECT d.doc_id, d.size, d.source_size, d.target, (d.size * (d.whole + d.hit))::BIGINT AS taken
+FROM drawn d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source AND d.k = c.k
+""".replace("SEEDS", str(SEEDS))
