@@ -9,7 +9,8 @@ The fit uses a bounded sample: ``sample`` labelled rows are expected, picked by
 
 A text that is null or holds no letter gets ``und`` with score 0. Rows without a lang train nothing. If nothing
 is learned at all, every text gets ``und``. Equal scores go to the language that sorts first. Repeated rows give
-repeated rows; very long texts are scored in parts, so memory is bounded.
+repeated rows; very long texts are read in parts, which changes no feature, so memory is bounded. An empty table gives an
+empty result; ``identify`` ignores extra columns, ``predict`` keeps them.
 """
 
 from __future__ import annotations
@@ -35,33 +36,33 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)], dtype=bool)
 
 
-def points(text: str) -> np.ndarray:
-    """Code points, lower-cased, with a space for anything but a letter."""
-    out = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+def points(lowered: str) -> np.ndarray:
+    """Code points of a lower-cased text, with a space for anything but a letter."""
+    out = np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     return np.where(_letters()[out], out, 32).astype(np.uint32)
 
 
-def features(p: np.ndarray) -> np.ndarray:
-    """Hashed n-grams of code points that start and end with a space; all of one size after the other."""
+def features(p: np.ndarray, known: int = 0) -> np.ndarray:
+    """Hashed n-grams of code points that end after the first ``known`` ones; all of one size after the other."""
     one = p * np.uint32(0x9E3779B1)
     two = one[:-1] ^ (p[1:] * np.uint32(0x85EBCA77) + np.uint32(1))
     three = (two[:-1] * np.uint32(0x27D4EB2F)) ^ (p[2:] * np.uint32(0xC2B2AE3D) + np.uint32(2))
     shift = np.uint32(32 - BUCKETS.bit_length() + 1)
-    grams = np.concatenate([one[p != 32], two[(p[:-1] != 32) | (p[1:] != 32)], three[(p[1:-1] != 32)]])
+    fresh = lambda grams, n, ok: grams[max(0, known - n + 1) :][ok[max(0, known - n + 1) :]]
+    grams = np.concatenate([fresh(one, 1, p != 32), fresh(two, 2, (p[:-1] != 32) | (p[1:] != 32)), fresh(three, 3, p[1:-1] != 32)])
     return ((grams ^ (grams >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> shift
 
 
-def text_parts(text: str):
-    """The whole text in parts of bounded size, which share two characters so that no n-gram is lost."""
-    for start in range(0, max(1, len(text)), PART):
-        yield text[max(0, start - 2) : start + PART]
-
-
 def text_features(text: str):
-    for part in text_parts(text):
-        p = points(part)
-        if (p != 32).any():
-            yield features(np.concatenate([[np.uint32(32)], p, [np.uint32(32)]]).astype(np.uint32))
+    """The features of a whole text between two spaces, in parts of bounded size: each n-gram is in the part it ends in."""
+    lowered, space = text.lower(), np.full(1, 32, dtype=np.uint32)
+    before, known = space, 0
+    for start in range(0, len(lowered), PART):
+        p = np.concatenate([before, points(lowered[start : start + PART]), *([space] if start + PART >= len(lowered) else [])])
+        if len(found := features(p, known)):
+            yield found
+        before = p[-2:]
+        known = len(before)
 
 
 def _count(batches):
@@ -132,20 +133,20 @@ def train(labelled: DataFrame, sample: int = 8000) -> Model:
     return Model(langs, counts, docs)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with lang_pred and score added (columns of those names are replaced)."""
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows of ``docs`` with the predicted language and its score added, by ``names`` (columns of those names are replaced)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # languages * BUCKETS floats
 
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    docs = docs.select(*own)
+    own = [c for c in docs.columns if c.lower() not in names]
+    docs = docs.select(*[docs[f"`{c}`"] for c in own])
 
     def guess(batches):
         for part in slices(batches, 64):
-            names, scores = shared.value.predict(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*own, "lang_pred", "score"])
+            langs, scores = shared.value.predict(part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*own, *names])
 
-    return docs.mapInArrow(guess, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.mapInArrow(guess, StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
 def held_out(doc_id) -> F.Column:

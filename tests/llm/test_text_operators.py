@@ -226,14 +226,56 @@ def test_language_of_odd_rows(odd):
 def test_prediction_does_not_depend_on_parts(monkeypatch):
     rng = np.random.default_rng(0)
     model = langid.Model(["a", "b"], rng.integers(0, 9, (2, langid.BUCKETS)).astype(float), np.ones(2))
-    text = "Some text, with WORDS and déjà vu. " * 60
-    whole = model.predict([text, None, "x", "12"])
-    counts = Counter(x for f in langid.text_features(text) for x in f.tolist())
-    monkeypatch.setattr(langid, "PART", 500)
-    parts = model.predict([text, None, "x", "12"])
-    assert whole[0] == parts[0] and whole[0][1] == whole[0][3] == "und"
-    again = Counter(x for f in langid.text_features(text) for x in f.tolist())
-    assert not counts - again and (again - counts).total() < 8 * len(text) / 500 * 3  # but for those that overlaps share
+    texts = ["Some text, with WORDS and déjà vu. ΣΑΣ ΟΣ " * 60, "aΣ" * 700, None, "x", "12", "ab", ""]
+    whole = model.predict(texts)
+    features = lambda: [Counter(x for f in langid.text_features(t or "") for x in f.tolist()) for t in texts]
+    counts = features()
+    for part in (1, 2, 3, 7, 500):
+        monkeypatch.setattr(langid, "PART", part)
+        assert features() == counts
+        parts = model.predict(texts)
+        assert whole[0] == parts[0] and np.allclose(whole[1], parts[1], rtol=1e-9)
+    assert [whole[0][i] for i in (2, 4, 6)] == ["und"] * 3
+
+
+def brute_features(text):
+    """Buckets of all n-grams of 1 to 3 characters between two spaces, number by number."""
+    word, mask = 1 << 32, (1 << 32) - 1
+    p = [32, *(ord(c) if c.isalpha() else 32 for c in text.lower()), 32]
+    out = Counter()
+    for i, c in enumerate(p):
+        one = c * 0x9E3779B1 % word
+        grams = [one] if c != 32 else []
+        if i + 1 < len(p):
+            two = one ^ ((p[i + 1] * 0x85EBCA77 + 1) % word)
+            if c != 32 or p[i + 1] != 32:
+                grams.append(two)
+            if i + 2 < len(p) and p[i + 1] != 32:
+                grams.append((two * 0x27D4EB2F % word) ^ ((p[i + 2] * 0xC2B2AE3D + 2) % word))
+        for g in grams:
+            out[((g ^ (g >> 15)) * 0x2C1B3C6D & mask) >> 18] += 1
+    return out
+
+
+def test_predictions_equal_plain_naive_bayes(spark, small):
+    docs = table(spark, small, "documents").select("doc_id", "text", "lang").collect()
+    counts, priors = defaultdict(Counter), Counter()
+    for r in docs:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            counts[r.lang] += brute_features(r.text or "")
+            priors[r.lang] += 1
+    langs, n = sorted(counts), sum(priors.values())
+    weight = {x: {b: math.log((counts[x][b] + 0.5) / (counts[x].total() + 0.5 * (1 << 14))) for b in range(1 << 14)} for x in langs}
+    got = {r.doc_id: r for r in langid.identify(table(spark, small, "documents")).collect()}
+    for r in docs:
+        f = brute_features(r.text or "")
+        logs = [math.log(priors[x] / n) + sum(k * weight[x][b] for b, k in f.items()) for x in langs]
+        best = max(range(len(langs)), key=logs.__getitem__)
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+        else:
+            score = 1 / sum(math.exp(x - logs[best]) for x in logs)
+            assert abs(got[r.doc_id].score - score) < 1e-2 and (got[r.doc_id].lang_pred == langs[best] or score < 0.51)
 
 
 # --- near duplicates ---
