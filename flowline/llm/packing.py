@@ -4,20 +4,17 @@ Documents become ids, an end id is appended, and only documents longer than a se
 are lengths from 1 to ``capacity``, so the whole problem is a histogram with at most ``capacity`` bars: the plan
 is made on the driver from those counts, whatever the number of documents, and is global, not per partition.
 
-1. Large lengths are sorted and split into groups of equal cardinality; each group is rounded up to its largest.
+1. Large lengths (above an eighth of a sequence) are sorted and split into groups of equal cardinality; each group is
+   rounded up to its largest.
 2. The few rounded sizes form a cutting-stock problem, solved by column generation (a knapsack prices new
-   configurations); the solution is rounded down.
-3. Actual lengths take the slots of their group, and so leave a little more room than planned.
-4. What the rounding left over and the small lengths go, longest first, where they fit best.
-
-Rounding wastes room in every sequence of a configuration, which pays only where large lengths fit together badly. So
-plans are made for several bounds of what is large, from an eighth of a sequence, where most text is in
-configurations of several slots, to a half, where each large length has a sequence of its own for best fit to fill; the
-plan with the fewest sequences is taken.
+   configurations) to within ``GAP`` of the best fractional solution, which is rounded down.
+3. Actual lengths are substituted: each slot takes the largest length left that is no larger than its group's, the last
+   slot of a sequence the largest that fits at all, so what rounding left over is not lost.
+4. What the rounding down left over and the small lengths go, longest first, where they fit best.
 
 A plan is a list of runs: the pieces of one length with ranks in some range go to consecutive sequences, so many
-in each, at some offset. A piece's rank among those of its length is counted within salted parts of the length,
-so a length that a third of the pieces share is spread over many tasks.
+in each, at some offset. All pieces are range-partitioned by length, doc_id and piece, so a length that a third of the
+pieces share is spread over many tasks; a piece's rank is its position less the pieces of smaller lengths.
 
 Null and empty texts are a single end id. Repeated rows are packed each for itself; a null doc_id is a value
 like others. An empty table gives an empty result. Extra columns are ignored.
@@ -29,13 +26,15 @@ import functools
 import re
 import zlib
 from array import array
+from bisect import bisect_right
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ordinal import with_position
 from .common import slices, spill
 
 #: Lower-case Latin-1 letters, and punctuation behind one at the end of a word.
@@ -165,47 +164,49 @@ def groups_of(large: list[tuple[int, int]], k: int) -> list[list[tuple[int, int]
     return out
 
 
+#: How far, as a share, the fractional solution may be from the best; and a bound of pivots, should they ever go in circles.
+GAP, PIVOTS = 1e-3, 20_000
+
+
 def best_pattern(sizes: list[int], values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack: the configuration of most value."""
-    order = np.array(sizes)
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for room in range(int(order.min()), capacity + 1):
-        best[room] = best[room - 1]
-        worth = np.where(order <= room, best[np.maximum(room - order, 0)] + values, -1)
-        i = int(worth.argmax())
-        if worth[i] > best[room] + 1e-12:
-            best[room], last[room] = worth[i], i
+    """Unbounded knapsack: the configuration of most value. Sizes come in one copy at a time, for all rooms at once."""
+    best, taken = np.zeros(capacity + 1), []
+    for i, (size, value) in enumerate(zip(sizes, values.tolist(), strict=True)):
+        for _ in range(capacity // size if value > 0 else 0):
+            better = best[:-size] + value > best[size:] + 1e-12
+            if not better.any():
+                break
+            best = np.concatenate([best[:size], np.where(better, best[:-size] + value, best[size:])])
+            taken.append((i, size, better))
     out, room = np.zeros(len(sizes), dtype=int), capacity
-    while room > 0:
-        if last[room] < 0:
-            room -= 1
-        else:
-            out[last[room]] += 1
-            room -= sizes[last[room]]
+    for i, size, better in reversed(taken):
+        if room >= size and better[room - size]:
+            out[i] += 1
+            room -= size
     return float(best[capacity]), out
 
 
-def configurations(sizes: list[int], counts: list[int], capacity: int, steps: int = 400) -> list[tuple[np.ndarray, int]]:
+def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[np.ndarray, int]]:
     """Cutting stock over few sizes: configurations and how often each is used, no demand exceeded."""
-    k = len(sizes)
-    basis = np.diag([capacity // s for s in sizes]).astype(float)
-    demand = np.array(counts, dtype=float)
-    for _ in range(steps):
-        inverse = np.linalg.inv(basis)
+    basis, demand = np.diag([float(capacity // s) for s in sizes]), np.array(counts, dtype=float)
+    for step in range(PIVOTS):
+        if step % 50 == 0:
+            inverse = np.linalg.inv(basis)
         value, new = best_pattern(sizes, np.maximum(inverse.sum(axis=0), 0), capacity)
-        if value <= 1 + 1e-7:
+        if value <= 1 + GAP:
             break
         x, way = inverse @ demand, inverse @ new
         ratio = np.where(way > 1e-9, x / np.where(way > 1e-9, way, 1), np.inf)
         leaves = int(np.argmin(ratio))
-        if not np.isfinite(ratio[leaves]):
-            break
         basis[:, leaves] = new
+        row = inverse[leaves] / way[leaves]
+        way[leaves] -= 1
+        inverse = inverse - np.outer(way, row)
     x = np.linalg.inv(basis) @ demand
     out, left = [], np.array(counts)
-    for j in np.argsort(-x):
+    for j in np.argsort(-x, kind="stable"):
         column = basis[:, j].astype(int)
-        n = int(min(max(0, np.floor(x[j] + 1e-9)), *(left[i] // column[i] for i in range(k) if column[i])))
+        n = int(min(max(0, np.floor(x[j] + 1e-9)), *(left[column > 0] // column[column > 0])))
         if n:
             out.append((column, n))
             left -= n * column
@@ -219,43 +220,49 @@ class Plan:
         self.capacity, self.sequences, self.runs = capacity, 0, []
         self.used = dict.fromkeys(histogram, 0)  # ranks taken so far, by length
         self.room: dict[int, list[tuple[int, int]]] = {}  # ranges of sequences by free room
-        todo = {s: n for s, n in histogram.items() if n}
-        full = todo.pop(capacity, 0)
-        if full:
-            self._open([(capacity, full)])
-        large = sorted(((s, n) for s, n in todo.items() if s > capacity // small), reverse=True)
+        self.configured = 0  # pieces in configurations of several slots
+        self.left = {s: n for s, n in histogram.items() if n}
+        if full := self.left.pop(capacity, 0):
+            self._open([capacity], full)
+        large = sorted(((s, n) for s, n in self.left.items() if s > capacity // small), reverse=True)
         if large:
             parts = groups_of(large, groups)
-            queues = [list(p) for p in parts]
-            for column, n in configurations([p[0][0] for p in parts], [sum(c for _, c in p) for p in parts], capacity):
-                slots = [g for g, a in enumerate(column) for _ in range(a)]
-                fill = [self._take(queues[g], n) for g in slots]
-                while n:
-                    same = min(f[0][1] for f in fill)
-                    self._open([(f[0][0], same) for f in fill])
-                    fill = [[(f[0][0], f[0][1] - same), *f[1:]] if f[0][1] > same else f[1:] for f in fill]
-                    n -= same
-        for size in sorted(todo, reverse=True):
-            self._best_fit(size, todo[size] - self.used[size])
-
-    @staticmethod
-    def _take(queue: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-        out = []
+            tops = [p[0][0] for p in parts]
+            lengths = sorted(s for s, _ in large)
+            for column, n in configurations(tops, [sum(c for _, c in p) for p in parts], capacity):
+                self._substitute(sorted((tops[g] for g, a in enumerate(column) for _ in range(a)), reverse=True), n, lengths)
+        for size in sorted(self.left, reverse=True):
+            self._best_fit(size, self.left[size])
+
+    def _substitute(self, slots: list[int], n: int, lengths: list[int]) -> None:
+        """Up to n sequences with actual lengths in their slots; ``lengths`` are the large ones with pieces left, ascending."""
         while n:
-            size, there = queue.pop(0)
-            out.append((size, min(n, there)))
-            if there > n:
-                queue.insert(0, (size, there - n))
-            n -= out[-1][1]
-        return out
+            own, room = [], self.capacity
+            for i, top in enumerate(slots):
+                at = bisect_right(lengths, min(top, room) if i + 1 < len(slots) else room)
+                if not at:
+                    return
+                own.append(lengths[at - 1])
+                room -= own[-1]
+            same = min(n, *(self.left[s] // own.count(s) for s in own))
+            if not same:  # the last piece of a length would be needed twice
+                return
+            for s in own:
+                self.left[s] -= same
+            for s in {*own}:
+                if not self.left[s]:
+                    del lengths[bisect_right(lengths, s) - 1]
+            self.configured += same * len(own) * (len(own) > 1)
+            self._open(own, same)
+            n -= same
 
     def _run(self, size: int, count: int, sequence: int, offset: int, each: int) -> None:
         self.runs.append((size, self.used[size], count, sequence, offset, each))
         self.used[size] += count
 
-    def _open(self, slots: list[tuple[int, int]]) -> None:
-        n, offset = slots[0][1], 0
-        for size, _ in slots:
+    def _open(self, sizes: list[int], n: int) -> None:
+        offset = 0
+        for size in sizes:
             self._run(size, n, self.sequences, offset, 1)
             offset += size
         self._leave(self.capacity - offset, self.sequences, n)
@@ -297,38 +304,22 @@ class Plan:
             self._fill(size, left, self.capacity, self.sequences - n, n)
 
 
-#: What is tried: lengths above capacity / n are large, and rounded in so many groups.
-TRIED = ((8, 96), (4, 48), (3, 48), (2, 48))
-
-
-def best_plan(histogram: dict[int, int], capacity: int, tried=TRIED) -> Plan:
-    return min((Plan(histogram, capacity, groups, small) for small, groups in tried), key=lambda p: p.sequences)
-
-
-def pack(pieces: DataFrame, capacity: int = 2048, salts: int = 256) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Pieces with a ``length`` of 1 to ``capacity``, each with its sequence_id and offset.
 
-    ``pieces`` is read three times, so it should be a written table. A length gets a share of ``salts`` parts as its
-    share of the pieces, one at least. To the driver come at most capacity + salts counts; what is broadcast are
-    those and the plan's runs, a few for each length.
+    ``pieces`` is read more than once, so it should be a written table. To the driver come at most ``capacity`` counts;
+    what is broadcast are those and the plan's runs, a few for each length.
     """
     spark = pieces.sparkSession
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, plan = sum(histogram.values()), best_plan(histogram, capacity)
-    parts = spark.createDataFrame([(s, -(-salts * n // total)) for s, n in histogram.items()] or [(0, 1)], "p_length long, p_parts int")
-    salted = pieces.join(F.broadcast(parts), F.col("length") == F.col("p_length"))
-    salted = salted.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("p_parts")).cast("int")).select(*pieces.columns, "__salt")
-    counts = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("n")).collect()
-    before, base = dict.fromkeys(histogram, 0), []
-    for r in sorted(counts, key=lambda r: (r.length, r["__salt"])):
-        base.append((r.length, r["__salt"], before[r.length]))
-        before[r.length] += r.n
-    base = spark.createDataFrame(base or [(0, 0, 0)], "b_length long, b_salt int, b_rank long")
-    runs = spark.createDataFrame(plan.runs or [(0,) * 6], "r_length long, r_rank long, r_count long, r_sequence long, r_offset long, r_each long")
-    place = F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "piece")) - 1
-    ranked = salted.withColumn("__place", place).join(F.broadcast(base), (F.col("length") == F.col("b_length")) & (F.col("__salt") == F.col("b_salt")))
-    inside = F.col("__place") + F.col("b_rank") - F.col("r_rank")
-    found = ranked.join(F.broadcast(runs), (F.col("length") == F.col("r_length")) & (inside >= 0) & (inside < F.col("r_count")))
+    plan, before, base = Plan(histogram, capacity), 0, {}
+    for size in sorted(histogram):
+        base[size], before = before, before + histogram[size]
+    runs = [(size, base[size] + rank, *more) for size, rank, *more in plan.runs]
+    runs = spark.createDataFrame(runs or [(0,) * 6], "r_length long, r_position long, r_count long, r_sequence long, r_offset long, r_each long")
+    placed = with_position(pieces, ["length", "doc_id", "piece"], "__position")
+    inside = F.col("__position") - F.col("r_position")
+    found = placed.join(F.broadcast(runs), (F.col("length") == F.col("r_length")) & (inside >= 0) & (inside < F.col("r_count")))
     return found.select(
         *pieces.columns,
         (F.col("r_sequence") + F.floor(inside / F.col("r_each"))).cast("long").alias("sequence_id"),
