@@ -606,38 +606,101 @@ def test_secret_query_keeps_base_spans(odd):
         assert set(said.split(",")) <= set(r.spans.split(","))
 
 
-def test_field_finds_held_out_secrets():
-    """Fitted on some secrets by shape and context, the field finds others and leaves numbers and words alone."""
-    rng = random.Random(5)
-    secret = lambda: "".join(rng.choices("0123456789abcdef", k=40))
-    plain = lambda: rng.choice(["in 1998 we", "call 555-0134 now", "page 12 of 300", "id 4785380592391141$$$", "mail a1@b.org", "on 2024-05-06."])
-    texts = [f"some words {plain()} and {plain()} here" + (f' token = "{secret()}" follows' if i % 3 == 0 else "") for i in range(300)]
-    runs = []
-    for t in texts:
-        own = secret_scan.digit_words(t)
-        runs += [(rows, secret_scan.weak_tags(run, secret_scan.base_spans(t))) for run, rows in zip(own, secret_scan.word_features(t, own), strict=True)]
-    field = secret_scan.fit(runs)
-    for _ in range(50):
-        s = secret()
-        t = f'other words {plain()} then secret : "{s}" and {plain()} end'
-        assert [t[a:b] for a, _, b in field.spans(t)] == [s]
+@pytest.fixture(scope="module")
+def fitted(small):
+    import duckdb
+
+    texts = [r[0] for r in duckdb.sql(f"SELECT text FROM read_parquet('{small.replace('0.001', '0.01')}/documents.parquet') ORDER BY doc_id").fetchall() if r[0]]
+    return texts, secret_scan.fit([(secret_scan.window_of(t), secret_scan.file_features(t)) for t in texts[:600]])
+
+
+B62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+@pytest.mark.parametrize(("before", "alphabet", "least"), [("Bearer ", B62, 0.9), ("pwd: ", B62, 0.9), ("passphrase ", B62[:52], 0.9), ("credential -> ", B62[26:52], 0.8), ("", B62, 0.75), ("db.pw = ", "0123456789abcdef", 0.8)])
+def test_field_finds_what_no_pattern_does(fitted, before, alphabet, least):
+    """Held-out texts with secrets, some without a digit, that none of the base patterns matches."""
+    texts, field = fitted
+    rng, hits = random.Random(5), 0
+    for text in texts[600:700]:
+        own = text[:1500]
+        value = "".join(rng.choices(alphabet, k=rng.randint(18, 31)))
+        at = rng.choice([i for i, c in enumerate(own) if c == " "] or [0])
+        start = at + 1 + len(before)
+        made = own[:at] + " " + before + value + " " + own[at:]
+        assert not any(a < start + len(value) and start < b for a, _, b in secret_scan.base_spans(made))
+        hits += (start, 3, start + len(value)) in field.spans([made])[0]
+    assert hits >= least * 100
+
+
+def test_field_leaves_clean_texts_alone(fitted):
+    texts, field = fitted
+    more = 0
+    for text, own in zip(texts[600:], field.spans(texts[600:]), strict=True):
+        base = secret_scan.base_spans(text)
+        more += sum(not any(p < e and a < q for p, _, q in base) for a, _, e in own)
+    assert more <= 2
+    plain = "The password is changed every week; see https://example.org/some/long-path_name/of-words and 2024-05-06T10:11:12, or call 4785380592391141. TokenStreamFactory was internationalisation."
+    assert field.spans([plain]) == [[]]
+
+
+def test_field_on_one_long_line(fitted):
+    """Keys in a line without white space, far beyond any prefix; each is a token of its own."""
+    _, field = fitted
+    rng = random.Random(8)
+    keys = ["".join(rng.choices(B62, k=30)) for _ in range(2)]
+    line = '{"a":' + ",".join(f'"name{i}":"some plain value"' for i in range(400)).replace(" ", "_") + f',"auth":"{keys[0]}","size":12,"pwd":"{keys[1]}"' + "}"
+    found = [line[a:b] for a, _, b in field.spans([line])[0]]
+    assert set(keys) <= set(found)
+
+
+def test_field_reads_long_texts_in_blocks(fitted, monkeypatch):
+    texts, field = fitted
+    rng = random.Random(2)
+    long = " ".join(t[:400] + f" pwd: {''.join(rng.choices(B62, k=20))}.{''.join(rng.choices(B62, k=9))} " for t in texts[:60])
+    whole = field.spans([long])[0]
+    assert len(whole) >= 50
+    for block in (50, 333, 5000):
+        monkeypatch.setattr(secret_scan, "BLOCK", block)
+        assert field.spans([long])[0] == whole
+        assert field.spans([long[:300], long, "", "x"])[1] == whole
+
+
+def test_pruned_decoding_is_viterbi(fitted):
+    """Over all tokens of a text the best path is the one that decoding of the open tokens gives."""
+    texts, field = fitted
+    rng = np.random.default_rng(4)
+    for k in range(20):
+        move = rng.normal(size=(3, 3))
+        move[2, 1] = -1e4
+        one = secret_scan.Field(field.weights + rng.normal(size=len(field.weights)), field.gaps + rng.normal(size=(7, 2)), move, field.pairs)
+        text = texts[k][:3000]
+        tokens = secret_scan.Tokens([text], [secret_scan.file_features(text)], one.pairs)
+        own = one.weights[tokens.matrix()].sum(axis=1)
+        scores = np.concatenate([own[:, None] + one.gaps[tokens.gap], np.zeros((len(own), 1))], axis=1)
+        want = []
+        for (a, b), tag in zip(zip(tokens.start.tolist(), tokens.end.tolist(), strict=True), one.tags(scores), strict=True):
+            if tag == 0:
+                want.append((a, 3, b))
+            elif tag == 1:
+                want[-1] = (want[-1][0], 3, b)
+        assert one.spans([text])[0] == want
 
 
 def test_viterbi_is_the_best_path():
     import itertools
 
-    import numpy as np
-
     rng = np.random.default_rng(1)
     for n in (1, 2, 4, 6):
-        field = secret_scan.Field(["x"], np.zeros((1, 3)), rng.normal(size=(3, 3)))
+        field = secret_scan.nothing()
+        field.move = rng.normal(size=(3, 3))
         scores = rng.normal(size=(n, 3))
         worth = lambda p: scores[np.arange(n), list(p)].sum() + sum(field.move[a, b] for a, b in zip([2, *p], [*p, 2], strict=True))
         assert tuple(field.tags(scores)) == max(itertools.product(range(3), repeat=n), key=worth)
 
 
 def test_redaction(odd):
-    field = secret_scan.Field([], np.zeros((0, 3)), np.zeros((3, 3)))
+    field = secret_scan.nothing()
     out = secret_scan.redact_documents(odd, field)
     assert out.columns == odd.columns
     got = {r.doc_id: r.text for r in out.collect()}
