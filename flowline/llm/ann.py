@@ -3,25 +3,30 @@
 The two halves of a vector are quantised separately, each by its own k-means codebook of K centroids, so K * K cells
 come from two small codebooks. A query sums the inner products of its halves with the centroids and visits cells in
 the order of that sum: a heap holds the frontier of centroid pairs (the multi-sequence walk) until the visited cells
-hold ``probe`` of all entries. Entries of visited cells are ranked by their exact inner product.
+hold enough entries. Entries of visited cells are ranked by their exact inner product.
 
-Codebooks are fitted on a bounded sample (``sample`` rows are expected, picked by hash); every row is indexed. The
-counts of the K * K cells (K is at most ``MOST``) come to the driver, which deals cells into shards of about
-``SHARD`` entries; a cell with more is split over several shards by a hash. Queries are dealt in blocks: a task
-holds at most ``QUERIES`` queries and streams its shard's entries past them, cell by cell, keeping the best of
-each query.
+How many entries are enough is measured, at every size alike: ``picked`` queries (by hash) are answered by brute force
+in one pass over the entries, and enough is what it takes to meet ``recall`` of their neighbours. On vectors with
+clusters that is a small share; on vectors without structure, as random ones in many dimensions, any index must
+visit about half. Recall over all queries is measured in the tests and in the README.
 
-``probe`` is a share of the entries, not a number: on vectors without structure (as random ones in many dimensions)
-a given recall takes about a given share. Recall at the defaults is measured in the tests and in the README.
+Codebooks are fitted on a bounded sample (``sample`` rows are expected, picked by hash); every row is indexed. K is 64 and
+grows with the square root of the rows, to ``MOST``. The counts of the K * K cells come to the driver, which deals cells
+into shards of bounded size; a cell with more entries is split over several shards by a hash. A task holds the entries of
+one shard and lets the queries that visit it stream past, so entries are shuffled once, whatever the number of queries.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a null
-vec_id or vectors of another dimension than most. Repeated rows are entries of their own, but one query; rows with
-the query's vec_id are its own. Ties go to the smaller vec_id. An empty table gives an empty result.
+vec_id. Vectors of another dimension are searched among their equals, by an index of their own. Repeated rows are
+entries of their own, but one query; of rows with one vec_id and different vectors the lowest vector asks, and rows with
+the query's vec_id are its own. Ties go to the smaller vec_id. An empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +34,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import spill
-from .vectors import matrix, ordered_dots, same_dimension, usable
+from .vectors import matrix, usable
 
 MOST = 1024
-SHARD, QUERIES = 8192, 4096
+#: Shards for a table that fits them; entries and bytes of a shard, at most; queries that are compared with a shard at a time.
+SHARDS, LEAST_SHARD, SHARD_BYTES, QUERIES = 32, 256, 1 << 23, 128
 
 
 def k_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -81,30 +87,29 @@ class Index:
     def cells(self, rows: np.ndarray) -> np.ndarray:
         return nearest(rows[:, : self.half], self.codebooks[0]) * len(self.codebooks[1]) + nearest(rows[:, self.half :], self.codebooks[1])
 
-    def deal(self) -> None:
+    def deal(self, size: int) -> None:
+        """Cells, in order, into shards of about ``size`` entries."""
         n = self.counts.ravel()
         self.first, self.share = np.zeros(len(n), dtype=np.int32), np.ones(len(n), dtype=np.int32)
         shard, held = 0, 0
         for cell in np.flatnonzero(n).tolist():
-            if held and held + n[cell] > SHARD:
+            if held and held + n[cell] > size:
                 shard, held = shard + 1, 0
-            self.first[cell], self.share[cell] = shard, -(-int(n[cell]) // SHARD)
+            self.first[cell], self.share[cell] = shard, -(-int(n[cell]) // size)
             held += int(n[cell])
             if self.share[cell] > 1:
                 shard, held = shard + int(self.share[cell]), 0
 
 
-def build(rows: DataFrame, centroids: int = 64, sample: int = 20_000) -> tuple[Index, DataFrame] | None:
-    """The index of (vec_id, v) rows, and the entries: vec_id, v, cell."""
+def build(rows: DataFrame, dim: int, sample: int = 20_000) -> tuple[Index, DataFrame]:
+    """The index of (vec_id, v) rows of one dimension, and the entries: vec_id, v, cell."""
     total = rows.count()
-    if not total:
-        return None
     some = rows.select("v")
     if total > sample:
         some = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("fit")), F.lit(1 << 30)) < int((1 << 30) * sample / total)).select("v")
     fit = matrix(pa.chunked_array([some.toArrow().column("v").combine_chunks()]).combine_chunks())
-    half = fit.shape[1] // 2
-    k = min(MOST, len(fit), centroids)
+    fit, half = fit if len(fit) else np.zeros((1, dim)), dim // 2
+    k = min(MOST, len(fit), max(64, math.isqrt(total) // 4))
     index = Index((k_means(fit[:, :half], k), k_means(fit[:, half:], k)), half)
     books = rows.sparkSession.sparkContext.broadcast(index)  # 2 * K centroids
 
@@ -116,62 +121,10 @@ def build(rows: DataFrame, centroids: int = 64, sample: int = 20_000) -> tuple[I
     entries = spill(rows.mapInArrow(place, f"vec_id long, v {rows.schema['v'].dataType.simpleString()}, cell int"), "entries")
     for r in entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
         index.counts.ravel()[r.cell] = r.n
-    index.deal()
+    index.deal(max(LEAST_SHARD, min(total // SHARDS, SHARD_BYTES // (8 * dim))))
     return index, entries
 
 
-def _best(query, vec, score, top):
-    """The ``top`` best of each query, ties to the smaller vec."""
-    order = np.lexsort((vec, -score, query))
-    query, vec, score = query[order], vec[order], score[order]
-    new = np.concatenate([[True], query[1:] != query[:-1]])
-    rank = np.arange(len(query)) - np.maximum.accumulate(np.where(new, np.arange(len(query)), 0))
-    keep = rank < top
-    return query[keep], vec[keep], score[keep], rank[keep]
-
-
-class _Group:
-    """The queries of a task's group, and the best entries that have passed so far."""
-
-    def __init__(self, ids: list, rows: list, cells: list, top: int):
-        self.ids, self.v, self.top = np.array(ids, dtype=np.int64), np.concatenate(rows), top
-        self.wants: dict[int, np.ndarray] = {}
-        flat, owner = np.concatenate(cells), np.repeat(np.arange(len(ids)), [len(c) for c in cells])
-        order = np.argsort(flat, kind="stable")
-        names, at = np.unique(flat[order], return_index=True)
-        self.wants = dict(zip(names.tolist(), np.split(owner[order], at[1:]), strict=True))
-        self.worst, self.fresh = np.full(len(ids), -np.inf), 0
-        self.found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
-
-    def add(self, cell: int, vec: np.ndarray, rows: np.ndarray) -> None:
-        asks = self.wants.get(cell)
-        if asks is None:
-            return
-        near = rows @ self.v[asks].T
-        low = self.worst[asks]
-        near = near >= low - 1e-9 * (1 + np.where(np.isfinite(low), np.abs(low), 0)) - 1e-12 * np.abs(near)
-        e, q = np.nonzero(near & (vec[:, None] != self.ids[asks]))
-        q = asks[q]
-        for i in range(0, len(e), 1 << 16):
-            x, y = e[i : i + (1 << 16)], q[i : i + (1 << 16)]
-            score = ordered_dots_pairs(rows, x, self.v, y)
-            self.found.append((y, vec[x], score))
-            self.fresh += len(x)
-            if self.fresh > 20 * self.top * len(self.ids):
-                self.prune()
-
-    def prune(self) -> None:
-        query, vec, score, rank = _best(*map(np.concatenate, zip(*self.found, strict=True)), self.top)
-        last = rank == self.top - 1
-        self.worst[query[last]] = score[last]
-        self.found, self.fresh = [(query, vec, score)], 0
-
-    def out(self):
-        self.prune()
-        query, vec, score = self.found[0]
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[query]), pa.array(vec), pa.array(score)], ["query_id", "vec_id", "score"])
-
-
 def ordered_dots_pairs(rows: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray) -> np.ndarray:
     out = np.zeros(len(x))
     for k in range(rows.shape[1]):
@@ -179,53 +132,119 @@ def ordered_dots_pairs(rows: np.ndarray, x: np.ndarray, others: np.ndarray, y: n
     return out
 
 
+def best_of(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, open_: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, entry, score) of the ``top`` best open entries of each query, exact, ties to the smaller id."""
+    near = np.where(open_ & (ids[None, :] != own[:, None]), queries @ rows.T, -np.inf)
+    if near.shape[1] > top:
+        low = np.partition(near, near.shape[1] - top, axis=1)[:, -top]
+    else:
+        low = np.full(len(near), -np.inf)
+    # Products of a matrix are rounded in another order, so all that come near the last place are computed anew.
+    size = np.abs(queries) @ np.abs(rows).max(axis=0)
+    near_enough = near >= np.where(np.isfinite(low), low - 1e-9 * size, -np.inf)[:, None]
+    q, e = np.nonzero(near_enough & (near > -np.inf))
+    score = np.concatenate([np.zeros(0), *(ordered_dots_pairs(rows, e[i : i + (1 << 18)], queries, q[i : i + (1 << 18)]) for i in range(0, len(q), 1 << 18))])
+    order = np.lexsort((ids[e], -score, q))
+    q, e, score = q[order], e[order], score[order]
+    first = np.searchsorted(q, q, side="left")
+    keep = np.arange(len(q)) - first < top
+    return q[keep], e[keep], score[keep]
+
+
 def _rank(top: int):
+    """Rows by shard, entries first: they are held while the shard's queries stream past."""
+
     def run(batches):
-        key, group, pending = None, None, None
+        key, held, done = None, [], None
         for b in batches:
             if not b.num_rows:
                 continue
-            shard, block, vec = (b.column(c).to_numpy() for c in ("shard", "block", "vec_id"))
-            cell, asked = b.column("cell").to_numpy(), b.column("cell").to_numpy() < 0
-            cut = np.flatnonzero((shard[1:] != shard[:-1]) | (block[1:] != block[:-1]) | (cell[1:] != cell[:-1])) + 1
+            shard, asks = b.column("shard").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero((shard[1:] != shard[:-1]) | (asks[1:] != asks[:-1])) + 1
             for start, stop in zip([0, *cut], [*cut, b.num_rows], strict=True):
-                now = (shard[start], block[start])
-                if now != key:
-                    if group is not None:
-                        yield group.out()
-                    key, group, pending = now, None, ([], [], [])
-                rows = matrix(b.column("v").slice(start, stop - start))
-                if asked[start]:  # queries come first
-                    pending[0].extend(vec[start:stop].tolist())
-                    pending[1].append(rows)
-                    pending[2].extend(np.array(c, dtype=np.int64) for c in b.column("cells").slice(start, stop - start).to_pylist())
-                elif pending[0]:
-                    if group is None:
-                        group = _Group(*pending, top)
-                    group.add(int(cell[start]), vec[start:stop], rows)
-        if group is not None:
-            yield group.out()
+                if shard[start] != key:
+                    key, held, done = shard[start], [], None
+                part = b.slice(start, stop - start)
+                if not asks[start]:
+                    held.append((part.column("vec_id").to_numpy(), part.column("cell").to_numpy(), matrix(part.column("v"))))
+                    continue
+                if not held:  # cells that no entry of this shard's part is in
+                    continue
+                if done is None:
+                    done = tuple(map(np.concatenate, zip(*held, strict=True)))
+                ids, cells, rows = done
+                for at in range(0, part.num_rows, QUERIES):
+                    some = part.slice(at, QUERIES)
+                    wanted = [np.isin(cells, c) for c in some.column("cells").to_pylist()]
+                    q, e, score = best_of(rows, ids, matrix(some.column("v")), own := some.column("vec_id").to_numpy(), np.array(wanted), top)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(ids[e]), pa.array(score)], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def search(embeddings: DataFrame, is_query, top: int = 20, probe: float = 0.5, least: int = 2048) -> DataFrame:
+def _exact(picked, top: int):
+    """The best entries of a task for each of the picked queries, with their cells."""
+
+    def run(batches):
+        own, queries = picked.value
+        best = None
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                some = b.slice(at, 4096)
+                ids, cells, rows = some.column("vec_id").to_numpy(), some.column("cell").to_numpy(), matrix(some.column("v"))
+                if best is not None:
+                    ids, cells, rows = np.concatenate([best[0], ids]), np.concatenate([best[1], cells]), np.concatenate([best[2], rows])
+                q, e, score = best_of(rows, ids, queries, own, np.ones((len(own), len(ids)), dtype=bool), top)
+                last = (q, ids[e], cells[e], score)
+                keep = np.unique(e)
+                best = ids[keep], cells[keep], rows[keep]
+        if best is not None:
+            q, vec, cell, score = last
+            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(vec), pa.array(cell), pa.array(score)], ["q", "vec_id", "cell", "score"])
+
+    return run
+
+
+def reach(index: Index, entries: DataFrame, queries: DataFrame, top: int, recall: float, picked: int) -> int:
+    """How many entries a query has to visit so that ``recall`` of the neighbours of ``picked`` queries, found by brute force, are among them."""
+    some = queries.orderBy(F.xxhash64("vec_id", F.lit("reach")), "vec_id").limit(picked).collect()
+    if not some:
+        return 0
+    own, rows = np.array([r.vec_id for r in some]), np.array([r.v for r in some], dtype=float)
+    shared = entries.sparkSession.sparkContext.broadcast((own, rows))  # picked vectors
+    best = entries.select("vec_id", "v", "cell").mapInArrow(_exact(shared, top), "q int, vec_id long, cell int, score double")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    found = best.withColumn("place", place).where(F.col("place") <= top).select("q", "cell").collect()  # picked * top rows
+    needs, n = [], index.counts.ravel()
+    for i, row in enumerate(rows):
+        first, second = row[: index.half] @ index.codebooks[0].T, row[index.half :] @ index.codebooks[1].T
+        order = np.argsort(-(first[:, None] + second[None, :]).ravel(), kind="stable")
+        before = np.empty(len(n), dtype=np.int64)
+        before[order] = np.cumsum(n[order]) - n[order]
+        needs += [int(before[r.cell]) for r in found if r.q == i]
+    return sorted(needs)[max(0, math.ceil(recall * len(needs)) - 1)] + 1 if needs else 0
+
+
+def search(embeddings: DataFrame, is_query, top: int = 20, recall: float = 0.95, picked: int = 64) -> DataFrame:
     """Per query (rows where the column ``is_query`` holds): query_id, rank, vec_id, score."""
-    spark = embeddings.sparkSession
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where(usable(F.col("v")) & F.col("vec_id").isNotNull())
-    rows = rows.where(F.size("v") == same_dimension(rows, "v"))
-    built = build(rows.select("vec_id", "v"))
-    if built is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index, entries = built
+    dims = [r.d for r in rows.where("asks").select(F.size("v").alias("d")).distinct().orderBy("d").collect()]  # a row for each dimension
+    best = [_search(rows.where(F.size("v") == d), d, top, recall, picked) for d in dims]
+    if not best:
+        return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return functools.reduce(DataFrame.union, best).select("query_id", place.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= top)
+
+
+def _search(rows: DataFrame, dim: int, top: int, recall: float, picked: int) -> DataFrame:
+    """The best entries of each query and shard, among vectors of one dimension."""
+    spark = rows.sparkSession
+    index, entries = build(rows.select("vec_id", "v"), dim)
+    queries = spill(rows.where("asks").groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    enough = reach(index, entries, queries, top, recall, picked)
     shared = spark.sparkContext.broadcast(index)
-    enough = max(least, probe * int(index.counts.sum()))
-    queries = rows.where("asks").dropDuplicates(["vec_id"])
-    n_queries = queries.count()
-    blocks = max(1, -(-n_queries // QUERIES))
     kind = rows.schema["v"].dataType.simpleString()
-    schema = f"shard int, block int, cell int, vec_id long, v {kind}, cells array<int>"
 
     def ask(batches):
         index = shared.value
@@ -236,20 +255,16 @@ def search(embeddings: DataFrame, is_query, top: int = 20, probe: float = 0.5, l
             first, second = q[:, : index.half] @ index.codebooks[0].T, q[:, index.half :] @ index.codebooks[1].T
             for r in range(len(q)):
                 cells = np.array(walk(first[r], second[r], index.counts, enough), dtype=np.int32)
-                by: dict[int, np.ndarray] = {}
-                shards = index.first[cells]
+                # a cell that is split is asked for in all of its shards
+                share = index.share[cells]
+                flat = np.repeat(cells, share)
+                shards = np.repeat(index.first[cells], share) + (np.arange(len(flat)) - np.repeat(np.cumsum(share) - share, share))
                 order = np.argsort(shards, kind="stable")
                 names, at = np.unique(shards[order], return_index=True)
-                for s, own in zip(names.tolist(), np.split(cells[order], at[1:]), strict=True):
-                    by[s] = np.concatenate([by[s], own]) if s in by else own
-                    for c in own[index.share[own] > 1].tolist():  # a split cell's other shards
-                        for more in range(s + 1, s + int(index.share[c])):
-                            by[more] = np.concatenate([by.get(more, np.zeros(0, dtype=np.int32)), [c]]).astype(np.int32)
-                n = len(by)
-                one = b.slice(r, 1)
+                n, one = len(names), b.slice(r, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(by), pa.int32()), pa.array([one.column("block")[0].as_py()] * n, pa.int32()), pa.array([-1] * n, pa.int32()), pa.array([one.column("vec_id")[0].as_py()] * n, pa.int64()), one.column("v").take(pa.array([0] * n)), pa.array(list(by.values()), pa.list_(pa.int32()))],
-                    ["shard", "block", "cell", "vec_id", "v", "cells"],
+                    [pa.array(names, pa.int32()), pa.array([one.column("vec_id")[0].as_py()] * n, pa.int64()), one.column("v").take(pa.array([0] * n)), pa.array(np.split(flat[order], at[1:]), pa.list_(pa.int32()))],
+                    ["shard", "vec_id", "v", "cells"],
                 )
 
     def deal(batches):
@@ -259,27 +274,10 @@ def search(embeddings: DataFrame, is_query, top: int = 20, probe: float = 0.5, l
                 cell, salt = b.column("cell").to_numpy(), b.column("salt").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(index.first[cell] + salt % index.share[cell], pa.int32()), *(b.column(c) for c in ("cell", "vec_id", "v"))], ["shard", "cell", "vec_id", "v"])
 
-    block = F.pmod(F.xxhash64("vec_id", F.lit("q")), F.lit(blocks)).cast("int")
-    asked = queries.select("vec_id", "v", block.alias("block")).repartition(max(1, -(-n_queries // 128)), "vec_id").mapInArrow(ask, schema)
+    tasks = max(1, -(-queries.count() // 128))
+    asked = queries.repartition(tasks, "vec_id").mapInArrow(ask, f"shard int, vec_id long, v {kind}, cells array<int>")
+    asked = asked.select("shard", F.lit(True).alias("asks"), F.lit(-1).alias("cell"), "vec_id", "v", "cells")
     dealt = entries.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)).cast("int")).mapInArrow(deal, f"shard int, cell int, vec_id long, v {kind}")
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("shard", "block", "cell", "vec_id", "v", F.lit(None).cast("array<int>").alias("cells"))
-    both = asked.union(dealt).repartition("shard", "block").sortWithinPartitions("shard", "block", "cell")
-    best = both.mapInArrow(_rank(top), "query_id long, vec_id long, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.select("query_id", place.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= top)
-
-
-#: Exact neighbours; the index finds the same as long as ``least`` reaches every entry, as in small tables.
-ORACLE = """
-WITH good AS (
-  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
-  FROM good q JOIN good c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
-), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
-)
-SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
-"""
+    dealt = dealt.select("shard", F.lit(False).alias("asks"), "cell", "vec_id", "v", F.lit(None).cast("array<int>").alias("cells"))
+    both = asked.union(dealt).repartition("shard").sortWithinPartitions("shard", "asks")
+    return both.mapInArrow(_rank(top), "query_id long, vec_id long, score double")

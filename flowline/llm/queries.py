@@ -54,4 +54,4 @@ def op10_source_mixing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_near_duplicates, op3_best_fit_packing, op4_nearest_neighbours, op5_repeated_substrings, op6_language_id, op7_vector_near_duplicates, op8_secret_scan, op9_token_counts, op10_source_mixing)}
-ORACLES = {"op1_chat_formatting": chat.ORACLE, "op4_nearest_neighbours": ann.ORACLE, "op7_vector_near_duplicates": neardup_vec.ORACLE, "op10_source_mixing": mixing.ORACLE}
+ORACLES = {"op1_chat_formatting": chat.ORACLE, "op7_vector_near_duplicates": neardup_vec.ORACLE, "op10_source_mixing": mixing.ORACLE}

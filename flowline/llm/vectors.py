@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,17 +16,3 @@ def matrix(column, dtype=np.float64) -> np.ndarray:
     """An Arrow list column of equal lengths as rows."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(dtype)
     return flat.reshape(len(column), -1)
-
-
-def same_dimension(rows: DataFrame, vector: str) -> int:
-    """The most frequent dimension (the smaller, if tied); 0 for an empty table. One row a dimension reaches the driver."""
-    found = rows.groupBy(F.size(vector).alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    return found[0].d if found else 0
-
-
-def ordered_dots(rows: np.ndarray, vector: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, components added from the first to the last."""
-    out = np.zeros(len(rows))
-    for k in range(rows.shape[1]):
-        out += rows[:, k] * vector[k]
-    return out

@@ -96,46 +96,80 @@ def test_star_groups_are_one_component_each(spark):
         assert sum(links[i] for i in own) == want
 
 
-def test_search_equals_brute_force(frame, rows):
-    """All entries are within reach of a small table's queries, so the neighbours are exact."""
-    got = defaultdict(list)
-    for r in ann.search(frame, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-        assert r.rank == len(got[r.query_id])
-    entries = [(i, v) for i, v, *_ in rows if good(v) and i is not None and len(v) == 16]
-    queries = {i: v for i, v in entries if i % 20 == 0}
-    assert got.keys() == queries.keys()
-    for q, v in queries.items():
-        want = []
+def neighbours(rows, top=20):
+    """Brute force: of each query its exact neighbours among the vectors of its dimension."""
+    entries, want = [(i, v) for i, v, *_ in rows if good(v) and i is not None], {}
+    for q, v in sorted({i: v for i, v in entries if i % 20 == 0}.items()):
+        found = []
         for i, w in entries:
-            if i != q:
+            if i != q and len(v) == len(w):
                 s = 0.0
                 for x, y in zip(v, w, strict=True):
                     s += x * y
-                want.append((-s, i))
-        assert got[q] == [(i, -s) for s, i in sorted(want)[:20]]
+                found.append((-s, i))
+        want[q] = [(i, -s) for s, i in sorted(found)[:top]]
+    return want
+
+
+def searched(frame, **how):
+    got = defaultdict(list)
+    for r in ann.search(frame, F.col("vec_id") % 20 == 0, **how).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+        assert r.rank == len(got[r.query_id])
+    return got
+
 
+def test_search_that_visits_all_equals_brute_force(spark, frame, rows):
+    """Asked for all neighbours of all queries, the index visits what it takes, and ranks exactly; other dimensions among themselves."""
+    more = [(2000, [1.0, 2.0]), (2001, [3.0, 1.0]), (2002, [1.0]), (2020, [5.0, -1.0]), (2040, [2.0])]
+    both = frame.select("vec_id", "embedding").union(spark.createDataFrame(more, "vec_id long, embedding array<float>"))
+    assert searched(both, recall=1.0, picked=10_000) == {q: v for q, v in neighbours([*rows, *more]).items() if v}
 
-def test_split_cells_and_blocks(frame, monkeypatch):
+
+def test_search_prunes_and_finds(frame, rows):
+    want, got = neighbours(rows), searched(frame, recall=0.95)
+    hits = [len({i for i, _ in got[q]} & {i for i, _ in v}) / len(v) for q, v in want.items() if v]
+    assert np.mean(hits) >= 0.9
+    exact = {q: dict(v) for q, v in neighbours(rows, top=10_000).items()}
+    assert all(exact[q][i] == s for q, own in got.items() for i, s in own)
+
+
+def test_split_cells_and_shards(frame, monkeypatch):
     whole = sorted(map(tuple, ann.search(frame, F.col("vec_id") % 20 == 0).collect()))
-    monkeypatch.setattr(ann, "SHARD", 7)
+    monkeypatch.setattr(ann, "LEAST_SHARD", 7)
     monkeypatch.setattr(ann, "QUERIES", 5)
     assert sorted(map(tuple, ann.search(frame, F.col("vec_id") % 20 == 0).collect())) == whole
 
 
-def test_recall_on_random_vectors(spark, small):
-    rows = table(spark, small.replace("0.001", "0.1"), "embeddings")
-    got = defaultdict(set)
-    for r in ann.search(rows, F.col("vec_id") % 20 == 0, least=0).collect():
-        got[r.query_id].add(r.vec_id)
+def recalls(rows, got):
     data = rows.collect()
     ids, v = np.array([r.vec_id for r in data]), np.array([r.embedding for r in data])
-    hits = []
     for q in np.flatnonzero(ids % 20 == 0):
         s = v @ v[q]
         s[q] = -np.inf
-        hits.append(len(got[ids[q]] & set(ids[np.argsort(-s)[:20]].tolist())) / 20)
-    assert np.mean(hits) >= 0.9
+        yield len(got[ids[q]] & set(ids[np.argsort(-s)[:20]].tolist())) / 20
+
+
+def test_recall_on_random_vectors(spark, small):
+    rows = table(spark, small.replace("0.001", "0.1"), "embeddings")
+    got = defaultdict(set)
+    for r in ann.search(rows, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    assert np.mean(list(recalls(rows, got))) >= 0.9
+
+
+def test_clustered_vectors_visit_few_entries(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((80, 32))
+    v = np.repeat(centres, 50, axis=0) + 0.1 * rng.standard_normal((4000, 32))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    index, entries = ann.build(rows.selectExpr("vec_id", "embedding v"), 32)
+    queries = rows.where("vec_id % 20 = 0").selectExpr("vec_id", "embedding v")
+    assert ann.reach(index, entries, queries, 20, 0.95, 64) < 0.2 * 4000
+    got = defaultdict(set)
+    for r in ann.search(rows, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    assert np.mean(list(recalls(rows, got))) >= 0.9
 
 
 def test_walk_visits_pairs_in_order():
