@@ -2,21 +2,29 @@
 
 In each pass every vector gets ``BITS`` signs of random projections, concatenated to a key; vectors are sorted by
 label and key, and each one is compared with its ``WINDOW`` predecessors. Two vectors at cosine 0.98 agree in one
-sign with probability 0.94, so close vectors keep long common prefixes and are neighbours in some pass. Pairs
-verified in double precision are all united, inside the task already: a block of a pass gives at most one link a
+sign with probability 0.94, so close vectors keep long common prefixes and are neighbours in some pass. The more
+vectors a label has, the longer a prefix must be, so passes follow the label's size: as many as leave a pair that
+comes into a window with probability (size / WINDOW) ** -``CROWD`` in a pass a chance of ``MISSED`` to come into none.
+Pairs verified in double precision are all united, inside the task already: a block of a pass gives at most one link a
 vector, a spanning forest of all its pairs.
 
 A window is bounded, links aren't: in a dense cluster a vector has more partners than a window holds. So what the
-passes settle are components, and links are then counted exactly: inside each component all blocks of vectors are
-multiplied in tasks, and only counts leave them. Equal vectors of one label are one row with a multiplicity.
+passes settle are components, and links are then counted exactly inside each component. In one of more than ``BLOCK``
+vectors, those within half the angle of a link around its mean (the core) all link to each other, which needs no
+product; vectors outside the core (queries, in held blocks) are multiplied with all (entries, in parts that stream past).
+Only counts leave a task. Equal vectors of one label are one row with a multiplicity.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and those with a null label, link with
 nothing, as do vectors of different dimensions. Repeated rows are vectors of their own. Null vec_ids count as
-vectors, but a component is never named by one unless all its vec_ids are null.
+vectors, but a component is never named by one unless all its vec_ids are null. An empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +35,11 @@ from .components import components
 from .vectors import matrix, usable
 
 LEAST = 0.98
-PASSES, WINDOW, BITS = 10, 128, 48
+WINDOW, BITS = 128, 48
+CROWD, MISSED, MOST_PASSES = 0.12, 1e-4, 64
 BLOCK = 512
+#: Parts of a label in the join that gives vectors its size.
+SALTS = 32
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -37,21 +48,26 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def projections(dim: int, passes: int = PASSES) -> np.ndarray:
-    return np.random.default_rng(7).standard_normal((dim, passes * BITS))
+def passes_of(size: int) -> int:
+    """Passes over a label with so many vectors."""
+    chance = min(0.9999, (max(1, size) / WINDOW) ** -CROWD)
+    return min(MOST_PASSES, max(4, math.ceil(math.log(MISSED) / math.log(1 - chance))))
+
+
+@functools.cache
+def projections(dim: int) -> np.ndarray:
+    return np.random.default_rng(7).standard_normal((MOST_PASSES * BITS, dim)).T
 
 
 def _keys(batches):
-    planes: dict[int, np.ndarray] = {}
     powers = (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)).astype(np.int64)
     for batch in batches:
-        sizes = np.array([len(v) for v in batch.column("v")])
-        for dim in np.unique(sizes).tolist():
-            part = batch.filter(pa.array(sizes == dim))
-            if dim not in planes:
-                planes[dim] = projections(dim)
-            signs = (matrix(part.column("v")) @ planes[dim] > 0).reshape(len(part), PASSES, BITS)
-            yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array((signs @ powers).tolist(), pa.list_(pa.int64()))], ["cid", "keys"])
+        sizes, labels = np.array([len(v) for v in batch.column("v")]), batch.column("size").to_numpy()
+        passes = np.array([passes_of(n) for n in labels.tolist()], dtype=int)
+        for dim, n in sorted({*zip(sizes.tolist(), passes.tolist(), strict=True)}):
+            part = batch.filter(pa.array((sizes == dim) & (passes == n)))
+            signs = (matrix(part.column("v")) @ projections(dim)[:, : n * BITS] > 0).reshape(len(part), n, BITS)
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("label", "cid", "v")] + [pa.array((signs @ powers).tolist(), pa.list_(pa.int64()))], ["label", "cid", "v", "keys"])
 
 
 def forest(close: np.ndarray, offset: int) -> np.ndarray:
@@ -102,34 +118,84 @@ def _neighbours(batches):
             yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
 
+def _core(batches):
+    """Vectors, and if they are in the core: closer to the mean than half the angle of a link."""
+    least = math.cos(math.acos(LEAST) / 2 - 1e-6)
+    for batch in batches:
+        if batch.num_rows:
+            mean = batch.column("mean")
+            known = mean.is_valid().to_numpy(zero_copy_only=False)
+            core = np.zeros(batch.num_rows, dtype=bool)
+            for dim in {len(v) for v in mean.filter(pa.array(known))}:
+                at = np.flatnonzero(known & (np.array([0 if v is None else len(v) for v in mean.to_pylist()]) == dim))
+                means = matrix(mean.take(pa.array(at)))
+                sizes = np.sqrt((means * means).sum(axis=1))
+                core[at] = (unit(matrix(batch.column("v").take(pa.array(at)))) * means).sum(axis=1) >= np.where(sizes > 0, least * sizes, np.inf)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("component", "cid", "v", "n")] + [pa.array(core)], ["component", "cid", "v", "n", "core"])
+
+
+def _units(batches):
+    for batch in batches:
+        if batch.num_rows:
+            rows = [unit(np.array([v]))[0] for v in batch.column("v").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("n"), pa.array(rows, pa.list_(pa.float64()))], ["component", "n", "v"])
+
+
 def _count(batches):
-    """Blocks (component, i, j) in order: how many vectors of j (with multiplicity) each of i links to, and back."""
-    key, held = None, []
-
-    def out():
-        table = pa.Table.from_batches(held).combine_chunks()
-        v, n, block, ids = unit(matrix(table.column("v").combine_chunks())), table.column("n").to_numpy(), table.column("block").to_numpy(), table.column("cid").to_numpy()
-        left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
-        close = v[left] @ v[right].T >= LEAST
-        if key[1] == key[2]:
-            np.fill_diagonal(close, False)
-            return pa.RecordBatch.from_arrays([pa.array(ids[left]), pa.array(close @ n[right])], ["cid", "links"])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[left], ids[right]])), pa.array(np.concatenate([close @ n[right], close.T @ n[left]]))], ["cid", "links"])
+    """Rows by (component, block, part), the held queries first: how many vectors (with multiplicity) each query links to, and how many queries each core vector."""
+    key, held, queries = None, [], None
+
+    def done():
+        if queries is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(queries[1]), pa.array(queries[3])], ["cid", "links"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        c, i, j = (batch.column(x).to_numpy() for x in ("component", "i", "j"))
-        cut = np.flatnonzero((c[1:] != c[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        c, i, j = (batch.column(x).to_numpy() for x in ("component", "block", "part"))
+        hold = batch.column("held").to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero((c[1:] != c[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (hold[1:] != hold[:-1])) + 1
         for start, stop in zip([0, *cut], [*cut, batch.num_rows], strict=True):
-            now = (c[start], i[start], j[start])
-            if now != key and held:
-                yield out()
-                held = []
-            key = now
-            held.append(batch.slice(start, stop - start))
-    if held:
-        yield out()
+            now, part = (c[start], i[start], j[start]), batch.slice(start, stop - start)
+            if now != key:
+                yield from done()
+                key, held, queries = now, [], None
+            rows = unit(matrix(part.column("v"))), part.column("cid").to_numpy(), part.column("n").to_numpy()
+            if hold[start]:
+                held.append(rows)
+                continue
+            if queries is None:
+                queries = [np.concatenate(x) for x in zip(*held, strict=True)]
+                queries.append(np.zeros(len(queries[1])))
+            for at in range(0, part.num_rows, 2048):
+                v, ids, n = (x[at : at + 2048] for x in rows)
+                close = (v @ queries[0].T >= LEAST) & (ids[:, None] != queries[1][None, :])
+                queries[3] += n @ close
+                core = part.column("core").to_numpy(zero_copy_only=False)[at : at + 2048]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[core]), pa.array((close @ queries[2])[core])], ["cid", "links"])
+    yield from done()
+
+
+def count_links(known: DataFrame, copies: DataFrame) -> DataFrame:
+    """(vertex, component) and the vectors (cid, v, n) -> cid, links: other vectors of the component that each one links to."""
+    member = known.join(copies, F.col("vertex") == F.col("cid")).select("component", "cid", "v", F.col("n").cast("double").alias("n"))
+    sizes = known.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    member = spill(member.join(sizes, "component"), "members")
+    large = member.where(F.col("size") > BLOCK).select("component", "n", "v").mapInArrow(_units, "component long, n double, v array<double>")
+    mean = large.select("component", "n", F.posexplode("v").alias("at", "x")).groupBy("component", "at").agg(F.sum(F.col("n") * F.col("x")).alias("x"))
+    mean = mean.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("m")).select("component", F.col("m.x").alias("mean"))  # one vector
+    member = spill(member.join(mean, "component", "left").mapInArrow(_core, "component long, cid long, v array<double>, n double, core boolean"), "cores")
+    per = member.groupBy("component").agg(F.count(F.lit(1)).alias("all"), F.count(F.when(~F.col("core"), 1)).alias("asking"), F.sum(F.when(F.col("core"), F.col("n"))).alias("inside"))
+    rows = member.join(per, "component").withColumns({"x": F.xxhash64("cid", F.lit("b")), "parts": F.ceil(F.col("all") / BLOCK).cast("int"), "blocks": F.ceil(F.col("asking") / BLOCK).cast("int")})
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    share = lambda n: F.pmod("x", n).cast("int")
+    own = ["component", "cid", "v", "n", "core"]
+    entries = rows.where("blocks > 0").select(*own, every("blocks").alias("block"), share("parts").alias("part"), F.lit(False).alias("held"))
+    queries = rows.where("not core").select(*own, share("blocks").alias("block"), every("parts").alias("part"), F.lit(True).alias("held"))
+    at = ["component", "block", "part"]
+    counted = entries.union(queries).repartition(*at).sortWithinPartitions(*at, F.desc("held")).mapInArrow(_count, "cid long, links double")
+    inside = rows.where("core").select("cid", (F.col("inside") - F.col("n")).alias("links"))
+    return counted.union(inside).groupBy("cid").agg(F.sum("links").cast("long").alias("links"))
 
 
 def link_vectors(embeddings: DataFrame) -> DataFrame:
@@ -137,24 +203,19 @@ def link_vectors(embeddings: DataFrame) -> DataFrame:
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("long").alias("label"))
     good = usable(F.col("v")) & F.col("label").isNotNull()
     rows = rows.withColumn("hash", F.when(good, F.sha2(F.concat_ws(",", "label", F.to_json("v")), 256)))
-    # Equal vectors of a label: one row with a number of its own.
+    # Equal vectors of a label: one row with a number of its own, given once, in a written table.
     copies = rows.where("hash is not null").groupBy("hash").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"), F.min("label").alias("label"), F.min("v").alias("v"))
-    copies = spill(copies.withColumn("cid", F.xxhash64("hash")), "copies")
+    copies = spill(copies.withColumn("cid", F.monotonically_increasing_id()), "copies")
 
-    keys = copies.select("cid", "v").mapInArrow(_keys, "cid long, keys array<long>")
-    keyed = copies.join(keys, "cid").select("label", "cid", "v", F.size("v").alias("dim"), F.posexplode("keys").alias("pass", "key"))
+    sizes = copies.groupBy("label").agg(F.count(F.lit(1)).alias("size")).select(F.col("label").alias("of"), "size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    sized = copies.join(sizes, (F.col("label") == F.col("of")) & (F.pmod("cid", F.lit(SALTS)) == F.col("salt")))
+    keyed = sized.select("label", "cid", "v", "size").mapInArrow(_keys, "label long, cid long, v array<double>, keys array<long>")
+    keyed = keyed.select("label", "cid", "v", F.size("v").alias("dim"), F.posexplode("keys").alias("pass", "key"))
     keyed = keyed.repartitionByRange("pass", "label", "dim", "key", "cid").sortWithinPartitions("pass", "label", "dim", "key", "cid")
     links = keyed.select("pass", "label", "cid", "v").mapInArrow(_neighbours, "a long, b long").distinct()
     known = spill(components(links), "known")
 
-    # Exact counts inside components.
-    member = known.join(copies, F.col("vertex") == F.col("cid")).select("component", "cid", "v", F.col("n").cast("double").alias("n"))
-    blocks = known.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    member = member.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("cid", F.lit("b")), F.col("blocks")).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    member = member.select("component", "i", "j", "block", "cid", "v", "n").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    counted = member.mapInArrow(_count, "cid long, links double").groupBy("cid").agg(F.sum("links").cast("long").alias("links"))
-
+    counted = count_links(known, copies)
     least = known.join(copies, F.col("vertex") == F.col("cid")).groupBy("component").agg(F.min("low").alias("least"))
     named = known.join(least, "component").select(F.col("vertex").alias("cid"), "least").join(counted, "cid", "left")
     classes = copies.join(named, "cid", "left").select(F.col("hash").alias("of"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("least", "low").alias("low"))

@@ -41,7 +41,7 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
-@pytest.mark.parametrize(("window", "block"), [(128, 512), (3, 8)])
+@pytest.mark.parametrize(("window", "block"), [(128, 512), (3, 8), (128, 3)])
 def test_links_equal_brute_force(frame, rows, monkeypatch, window, block):
     monkeypatch.setattr(neardup_vec, "WINDOW", window)
     monkeypatch.setattr(neardup_vec, "BLOCK", block)
@@ -119,6 +119,22 @@ def searched(frame, **how):
     return got
 
 
+def test_dense_cluster_needs_no_products(spark, monkeypatch):
+    """Vectors in the core of a large component are counted, not multiplied."""
+    rng = np.random.default_rng(2)
+    centre = rng.standard_normal(16)
+    v = centre + 0.002 * rng.standard_normal((700, 16))
+    monkeypatch.setattr(neardup_vec, "BLOCK", 64)
+    rows = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = neardup_vec.link_vectors(rows).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(699, 0)}
+
+
+def test_passes_grow_with_the_label():
+    passes = [neardup_vec.passes_of(n) for n in (0, 1, 100, 10_000, 1_000_000, 10**8)]
+    assert passes == sorted(passes) and passes[0] >= 4 and passes[-1] > 2 * passes[2]
+
+
 def test_search_that_visits_all_equals_brute_force(spark, frame, rows):
     """Asked for all neighbours of all queries, the index visits what it takes, and ranks exactly; other dimensions among themselves."""
     more = [(2000, [1.0, 2.0]), (2001, [3.0, 1.0]), (2002, [1.0]), (2020, [5.0, -1.0]), (2040, [2.0])]
