@@ -263,6 +263,20 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, where).collect()} <= {3, 4, None}
 
 
+def test_pipeline_keeps_columns_of_any_name(spark):
+    """Columns named like those that stages use stay, with their values."""
+    extra = ["score", "Lang_Pred", "__copies", "__once", "__row", "copies", "size", "label", "key", "th", "band", "n"]
+    text = "the quick brown fox jumps over the lazy dog while the old man and the sea are calm today in many ways"
+    rows = [(i, f"{text} {i} " * 3, "en", "a", 0, *(float(i * 100 + k) for k in range(len(extra)))) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} double" for c in extra))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "unused").cache()
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *extra], name
+        got = docs.collect()
+        assert got and all(tuple(r)[5:] == rows[r.doc_id][5:] for r in got), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "unused").count() >= len(got)
+
+
 def test_digest_is_that_of_the_words():
     a, b = minhash.whole_word_hashes(["The  quick\tfox", "the quick FOX"])
     assert hashlib.sha256(a.tobytes()).digest() == hashlib.sha256(b.tobytes()).digest()
