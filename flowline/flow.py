@@ -2,8 +2,9 @@
 
 A ``Flow`` is a DataFrame plus the columns that order it, optionally the columns that split it into independent
 streams (``key``) and the column of arrival times (``clock``). An ``Operator`` is a function from flow to flow;
-``then`` and ``compose`` chain operators downstream and upstream, and a chain is an operator again. Everything
-stays lazy: a flow is a plan, run by a terminal (``collect``, ``for_each``) or by a station's action.
+``then`` and ``compose`` chain operators downstream and upstream, and a chain is an operator again. A flow is a plan, run by
+a terminal (``collect``, ``for_each``) or by a station's action. Operators that need the order of a whole flow, or where it
+ends, run jobs while the plan is made: they stage the ordered rows, or bring one row to the driver.
 """
 
 from __future__ import annotations

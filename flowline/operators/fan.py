@@ -111,8 +111,8 @@ def zip_flows(left: Flow, right: Flow, combine: Column | None = None, name: str
     return Flow(out, ("pos",))
 
 
-def zip_latest(left: Flow, right: Flow, value: str, hold: bool = True) -> Flow:
-    """The latest ``value`` of either side at each arrival, as (l, r).
+def zip_latest(left: Flow, right: Flow, value: str, hold: bool = True, combine: Column | None = None, name: str = "value") -> Flow:
+    """The latest ``value`` of either side at each arrival, as (l, r), and what ``combine`` makes of them; its null is an error.
 
     With ``hold``, rows of the side that starts first are not overwritten: they wait for the other side's first row
     and then follow one by one. Without, plain forward filling: only the latest value before a row counts. An empty
@@ -120,6 +120,12 @@ def zip_latest(left: Flow, right: Flow, value: str, hold: bool = True) -> Flow:
     """
     key, clock = list(left.key), left.clock
     rows = tagged([left, right])
+
+    def combined(flow: Flow) -> Flow:
+        if combine is None:
+            return flow
+        return flow.with_df(flow.df.withColumn(name, F.when(combine.isNull(), F.raise_error(F.lit("zip made a null"))).otherwise(combine)))
+
     first = F.min(F.struct(clock, *left.order))
     if key:
         starts = rows.groupBy(*key, "src").agg(first.alias("s"))
@@ -129,7 +135,7 @@ def zip_latest(left: Flow, right: Flow, value: str, hold: bool = True) -> Flow:
         got = {r.src: r.s for r in rows.groupBy("src").agg(first.alias("s")).collect()}  # two rows
         if len(got) < 2:
             nothing = rows.where(F.lit(False)).withColumns({"l": F.col(value), "r": F.col(value), "pos": F.lit(0).cast("long")})
-            return Flow(nothing, ("pos",), (), clock)
+            return combined(Flow(nothing, ("pos",), (), clock))
         rows = rows.withColumns({f"s{i}": F.struct(*[F.lit(got[i][c]).alias(c) for c in (clock, *left.order)]) for i in (0, 1)})
     opens = F.greatest(F.col(f"s0.{clock}"), F.col(f"s1.{clock}"))
     own = F.when(F.col("src") == 0, F.col("s0")).otherwise(F.col("s1"))
@@ -142,9 +148,8 @@ def zip_latest(left: Flow, right: Flow, value: str, hold: bool = True) -> Flow:
         side = lambda i: F.last(F.when(F.col("src") == i, F.col(value)), ignorenulls=True).over(run)
         out = rows.withColumns({"l": side(0), "r": side(1)}).where("l is not null and r is not null")
         # two held first rows give one result
-        return flow.with_df(out.drop("s0", "s1"))
+        return combined(flow.with_df(out.drop("s0", "s1")))
     rows = rows.drop("s0", "s1")
-    counted = with_running(rows, order, {f"n{i}": ("sum", (F.col("src") == i).cast("long")) for i in (0, 1)})
-    values = [counted.where(F.col("src") == i).select(F.col(f"n{i}").alias(f"k{i}"), F.col(value).alias("lr"[i])) for i in (0, 1)]
-    out = counted.where("n0 > 0 and n1 > 0").join(values[0], F.col("n0") == F.col("k0")).join(values[1], F.col("n1") == F.col("k1"))
-    return Flow(out.drop("n0", "n1", "k0", "k1"), ("pos",), (), clock)
+    side = lambda i: ("last", F.when(F.col("src") == i, F.col(value)))
+    out = with_running(rows, order, {"l": side(0), "r": side(1)}).where("l is not null and r is not null")
+    return combined(Flow(out, ("pos",), (), clock))

@@ -78,14 +78,30 @@ def split(predicate: Column, after: bool = False, segment: str = "segment", firs
     return Operator(apply, "split")
 
 
-def split_take(predicate: Column, n: int, key: Sequence[str], segment: str = "segment") -> Operator:
-    """Segments whose consumer cancels after ``n`` rows: the next row opens a new segment, matched or not."""
+def split_take(predicate: Column, n: int, key: Sequence[str] = (), segment: str = "segment", after: bool = False, eager: bool = False) -> Operator:
+    """Segments whose consumer cancels after ``n`` rows: the next row opens a new segment, matched or not.
+
+    If ``eager``, the flow (or each of its streams) ends instead with the row at which the first consumer cancels.
+    """
 
     def apply(f: Flow) -> Flow:
-        base = split(predicate, segment="__base")(f.keyed(*key))
-        w = base.window().rowsBetween(Window.unboundedPreceding, 0)
-        inner = F.row_number().over(base.keyed(*key, "__base").window())
-        opens = base.df.withColumn("__opens", (F.pmod(inner - 1, F.lit(n)) == 0).cast("long"))
-        return base.with_df(opens.withColumn(segment, F.sum("__opens").over(w)).drop("__opens", "__base"))
+        base = split(predicate, after, segment if eager else "__base")(f.keyed(*key))
+        inner = F.row_number().over(base.keyed(*key, segment if eager else "__base").window())
+        rows = base.df.withColumn("__n", inner)
+        if not eager:
+            rows = rows.withColumn("__opens", (F.pmod(F.col("__n") - 1, F.lit(n)) == 0).cast("long"))
+            if key:
+                rows = rows.withColumn(segment, F.sum("__opens").over(base.window().rowsBetween(Window.unboundedPreceding, 0)))
+            else:
+                rows = with_running(rows, base.order, {segment: ("sum", F.col("__opens"))}, "__pos")
+            return base.with_df(rows.drop("__opens", "__base", "__n", "__pos"))
+        if key:
+            before = F.max(F.col("__n") == n).over(base.window().rowsBetween(Window.unboundedPreceding, -1))
+            return base.with_df(rows.withColumn("__done", F.coalesce(before, F.lit(False))).where("not __done").drop("__done", "__n"))
+        place = F.struct(*base.order)
+        end = rows.where(F.col("__n") == n).select(place.alias("p")).orderBy("p").limit(1).collect()  # one row
+        if end:
+            rows = rows.where(place <= F.struct(*[F.lit(end[0].p[c]).alias(c) for c in base.order]))
+        return base.with_df(rows.drop("__n"))
 
     return Operator(apply, "split_take")

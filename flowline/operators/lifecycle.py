@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from contextlib import ExitStack, contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
 from ..flow import Flow, Operator
 from ..plans.ordinal import with_position
+from ..plans.staging import stage
 
 
 class UpstreamError(Exception):
@@ -50,6 +54,34 @@ def recover(fails: Column, fallback: Callable[[], Flow]) -> Operator:
 recover_step = recover
 
 
+def recover_processing(process: Callable[[dict], dict], schema: str, fallback: Callable[[str], Flow]) -> Operator:
+    """Rows through ``process`` up to the first one at which it raises, then the rows of ``fallback``, which is told the error.
+
+    Each row is tried once, on the executors, in Arrow batches; what it makes has ``schema``, with the order's columns.
+    """
+    kind = _parse_datatype_string(schema)
+    tried = StructType([*kind.fields, StructField("__error", StringType())])
+
+    def attempt(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                try:
+                    out.append({**process(row), "__error": None})
+                except Exception as e:  # noqa: BLE001 - any failure of the processing is what this is for
+                    out.append({**{k: v for k, v in row.items() if k in kind.names}, "__error": f"{type(e).__name__}: {e}"})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=to_arrow_schema(tried))
+
+    def apply(f: Flow) -> Flow:
+        done = f.with_df(stage(f.df.mapInArrow(attempt, tried), "tried"))
+        first = done.df.where("__error is not null").orderBy(*f.order).select("__error").limit(1).collect()  # one row
+        out = recover(F.col("__error").isNotNull(), lambda: fallback(first[0][0]))(done)
+        return out.with_df(out.df.drop("__error"))
+
+    return Operator(apply, "recover_processing")
+
+
 def recover_run(run: Callable[[], object], fallback: Callable[[BaseException], object]) -> object:
     """For failures only an action shows: run, or else the fallback. If that fails too, its error carries the first."""
     try:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import functions as C
 from .flow import Flow, chain
 from .operators import fan, gather, group, lifecycle, narrow, parallel, timed
+from .plans.staging import stage
 from .sources import from_callable, from_frame, from_rows
 
 QUERIES: dict = {}
@@ -108,8 +109,26 @@ def take_while(spark, sf_dir):
 
 @query("SELECT o_orderkey, round(o_totalprice * 100)::BIGINT * 2 AS value FROM orders")
 def gather_map(spark, sf_dir):
-    f = from_frame(table(spark, sf_dir, "orders"), "o_orderkey")
-    return f.then(narrow.filter_map(F.round(F.col("o_totalprice") * 100).cast("long") * 2)).df.select("o_orderkey", "value")
+    f = from_frame(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents")), "o_orderkey", key=("o_custkey",))
+    own = gather.Gatherer.map(lambda r: {"o_orderkey": r["o_orderkey"], "value": 2 * r["cents"]})
+    return f.then(gather.gather(own, "o_orderkey long, value long")).df
+
+
+@query(f"""SELECT event_id, cents, (row_number() OVER (ORDER BY event_id))::BIGINT AS nth FROM (
+  SELECT event_id, cents, max(cents) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM {E}) WHERE cents > coalesce(best, -1)
+UNION ALL SELECT -1, max(cents), count(*) FROM {E}""")
+def gather_whole(spark, sf_dir):
+    """A gatherer over a flow without key: each new highest value, numbered, and at the end how many rows there were."""
+
+    def integrate(state, row, push):
+        state["rows"] = state.get("rows", 0) + 1
+        if row["cents"] > state.get("best", -1):
+            state["best"], state["nth"] = row["cents"], state.get("nth", 0) + 1
+            push({"event_id": row["event_id"], "cents": row["cents"], "nth": state["nth"]})
+        return True
+
+    own = gather.Gatherer(integrate, finish=lambda s, push: push({"event_id": -1, "cents": s["best"], "nth": s["rows"]}))
+    return events(spark, sf_dir, "event_id", "cents").then(gather.gather(own, "event_id long, cents long, nth long")).df
 
 
 @query(f"SELECT user_id, event_id, i AS copy, cents + i AS value FROM {E}, (SELECT unnest(range(0, 3)) AS i) r WHERE i < event_id % 3")
@@ -229,6 +248,25 @@ def split_take(spark, sf_dir):
     return events(spark, sf_dir).then(group.split_take(F.col("event_type") == "purchase", 3, ["user_id"])).df.select("user_id", "event_id", "segment")
 
 
+_SEGMENTS = "(SELECT event_id, {} AS base FROM (SELECT event_id, event_type = 'purchase' AS p, row_number() OVER (ORDER BY event_id) AS rn FROM events))"
+_BEFORE = _SEGMENTS.format("(sum(CASE WHEN rn = 1 OR p THEN 1 ELSE 0 END) OVER (ORDER BY event_id))::BIGINT")
+_AFTER = _SEGMENTS.format("(1 + coalesce(sum(CASE WHEN p THEN 1 ELSE 0 END) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT")
+
+
+@query(f"""SELECT event_id, (sum(((n - 1) % 3 = 0)::INTEGER) OVER (ORDER BY event_id))::BIGINT AS segment
+FROM (SELECT event_id, row_number() OVER (PARTITION BY base ORDER BY event_id) AS n FROM {_AFTER})""")
+def split_after_take(spark, sf_dir):
+    """Segments that a purchase ends, over the whole flow; a consumer cancels after three rows."""
+    return events(spark, sf_dir, "event_id", "event_type").then(group.split_take(F.col("event_type") == "purchase", 3, after=True)).df.select("event_id", "segment")
+
+
+@query(f"""WITH n AS (SELECT event_id, base, row_number() OVER (PARTITION BY base ORDER BY event_id) AS n FROM {_BEFORE})
+SELECT event_id, base AS segment FROM n WHERE event_id <= coalesce((SELECT min(event_id) FROM n WHERE n = 9), 1e18)""")
+def split_eager_cancel(spark, sf_dir):
+    """The flow ends with the row at which the first consumer of a segment cancels, its ninth."""
+    return events(spark, sf_dir, "event_id", "event_type").then(group.split_take(F.col("event_type") == "purchase", 9, eager=True)).df.select("event_id", "segment")
+
+
 # --- fan-out ---
 
 
@@ -329,7 +367,7 @@ def _latest(key: str, hold: bool) -> str:
     keys = f"{key}, " if key else ""
     opens = "greatest(us, f0, f1)" if hold else "us"
     later = "CASE WHEN us = CASE WHEN src = 0 THEN f0 ELSE f1 END THEN 0 ELSE 1 END" if hold else "1"
-    return f"""WITH t AS (SELECT 0 AS src, * FROM {E} WHERE event_type = 'click' AND event_id > 40 UNION ALL SELECT 1, * FROM {E} WHERE event_type = 'view'),
+    return f"""WITH t AS (SELECT 0 AS src, * FROM {E} WHERE event_type = 'purchase' UNION ALL SELECT 1, * FROM {E} WHERE event_type = 'view'),
 f AS (SELECT *, min(CASE WHEN src = 0 THEN us END) OVER ({part}) AS f0, min(CASE WHEN src = 1 THEN us END) OVER ({part}) AS f1 FROM t),
 o AS (SELECT *, {opens} AS moment, {later} AS later FROM f WHERE f0 IS NOT NULL AND f1 IS NOT NULL),
 l AS (SELECT *, last_value(CASE WHEN src = 0 THEN cents END IGNORE NULLS) OVER w AS l, last_value(CASE WHEN src = 1 THEN cents END IGNORE NULLS) OVER w AS r
@@ -339,8 +377,7 @@ SELECT {keys}event_id, l, r FROM l WHERE l IS NOT NULL AND r IS NOT NULL"""
 
 def _late(spark, sf_dir, *key):
     f = events(spark, sf_dir, "event_id", "us", "cents", "event_type", *key).keyed(*key)
-    a = of_type(f, "click")
-    return a.with_df(a.df.where("event_id > 40")), of_type(f, "view")
+    return of_type(f, "purchase"), of_type(f, "view")
 
 
 @query(_latest("", True))
@@ -348,6 +385,11 @@ def zip_latest(spark, sf_dir):
     return fan.zip_latest(*_late(spark, sf_dir), "cents").df.select("event_id", "l", "r")
 
 
+@query(f"SELECT event_id, 3 * l - r AS value FROM ({_latest('', True)})")
+def zip_latest_combined(spark, sf_dir):
+    return fan.zip_latest(*_late(spark, sf_dir), "cents", combine=3 * F.col("l") - F.col("r")).df.select("event_id", "value")
+
+
 @query(_latest("user_id", True))
 def zip_latest_keyed(spark, sf_dir):
     return fan.zip_latest(*_late(spark, sf_dir, "user_id"), "cents").df.select("user_id", "event_id", "l", "r")
@@ -392,9 +434,25 @@ def rendezvous(spark, sf_dir):
     return events(spark, sf_dir).then(timed.rendezvous()).df.select("event_id", "user_id")
 
 
-@query("SELECT event_id, user_id FROM events")
+HOUR = 3_600_000_000
+
+
+def _paced(part: str, limit: int, every: int) -> str:
+    return f"""WITH i AS (SELECT *, row_number() OVER ({part}ORDER BY event_id) - 1 AS i FROM {E}),
+e AS (SELECT *, (i * {every} + max(us - i * {every}) OVER ({part}ORDER BY event_id))::BIGINT AS emit_us FROM i)
+SELECT event_id, user_id, emit_us, greatest(us, lag(emit_us, {limit}) OVER ({part}ORDER BY event_id)) AS pushed_us FROM e"""
+
+
+@query(_paced("", 4, HOUR // 12))
 def buffer(spark, sf_dir):
-    return events(spark, sf_dir).then(timed.buffer(4)).df.select("event_id", "user_id")
+    """A consumer that takes a row every five minutes, more slowly than rows come: the producer waits for one of four places."""
+    return events(spark, sf_dir, "event_id", "user_id", "us").then(timed.buffer(4, "us", HOUR // 12)).df.select("event_id", "user_id", "emit_us", "pushed_us")
+
+
+@query(_paced("PARTITION BY user_id ", 2, 48 * HOUR))
+def buffer_keyed(spark, sf_dir):
+    out = events(spark, sf_dir).keyed("user_id").then(timed.buffer(2, "us", 48 * HOUR)).df
+    return out.select("event_id", "user_id", "emit_us", "pushed_us")
 
 
 @query(f"SELECT (rn // 100)::BIGINT AS batch_id, count(*) AS n, sum(cents)::BIGINT AS total FROM (SELECT cents, row_number() OVER (ORDER BY event_id) - 1 AS rn FROM {E}) GROUP BY 1")
@@ -402,9 +460,6 @@ def batch_count(spark, sf_dir):
     return events(spark, sf_dir, "event_id", "cents").then(timed.batch_count(100, C.summing("cents"))).df.select("batch_id", "n", "total")
 
 
-HOUR = 3_600_000_000
-
-
 @query(f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM {E}),
 b AS (SELECT user_id, rn, 1 AS batch, 1 AS n, us AS opened, us, cents FROM r WHERE rn = 1
   UNION ALL SELECT r.user_id, r.rn, CASE WHEN b.n = 5 OR r.us > b.opened + {72 * HOUR} THEN b.batch + 1 ELSE b.batch END,
@@ -422,18 +477,46 @@ def batch_timeout(spark, sf_dir):
     return out.select("user_id", "n", F.aggregate("rows", F.lit(0).cast("long"), lambda a, x: a + x["cents"]).alias("total"), "emit_us")
 
 
-@query(f"""WITH RECURSIVE r AS (SELECT *, 1 + cents % 7 AS cost, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM {E}),
-s AS (SELECT user_id, rn, event_id, us, 0::BIGINT AS tokens, us AS accrued, us AS emit_us, 4::BIGINT AS held FROM r WHERE false),
-b AS (SELECT user_id, event_id, rn, CASE WHEN cost <= 4 THEN us ELSE us + {12 * HOUR} * (cost - 4) END AS emit_us,
-    CASE WHEN cost <= 4 THEN 4 - cost ELSE 0 END AS tokens, CASE WHEN cost <= 4 THEN us ELSE us + {12 * HOUR} * (cost - 4) END AS accrued FROM r WHERE rn = 1
+_BUYS = f"(SELECT * FROM {E} WHERE event_type = 'purchase')"
+
+
+def _buys(spark, sf_dir, *columns):
+    f = of_type(events(spark, sf_dir), "purchase")
+    return f.with_df(f.df.select("event_id", "us", "cents", *columns))
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (ORDER BY event_id) AS rn FROM {_BUYS}),
+b AS (SELECT rn, 1 AS batch, cents AS total, us AS opened, us, cents FROM r WHERE rn = 1
+  UNION ALL SELECT r.rn, CASE WHEN b.total >= 20000 OR r.us > b.opened + {8 * HOUR} THEN b.batch + 1 ELSE b.batch END,
+    CASE WHEN b.total >= 20000 OR r.us > b.opened + {8 * HOUR} THEN r.cents ELSE b.total + r.cents END,
+    CASE WHEN b.total >= 20000 OR r.us > b.opened + {8 * HOUR} THEN r.us ELSE b.opened END, r.us, r.cents
+  FROM b JOIN r ON r.rn = b.rn + 1)
+SELECT count(*) AS n, max(total)::BIGINT AS total, CASE WHEN max(total) >= 20000 THEN max(us) ELSE least(min(opened) + {8 * HOUR}, (SELECT max(us) FROM r)) END AS emit_us FROM b GROUP BY batch""")
+def batch_own_deadline(spark, sf_dir):
+    """Over the whole flow: a batch leaves once it is worth 200.00, or 8 hours after its first row."""
+    own = lambda rows: timed.MIN if sum(r["cents"] for r in rows) >= 20000 else rows[0]["us"] + 8 * HOUR
+    out = _buys(spark, sf_dir).then(timed.batch(own, "us", "rows array<struct<event_id:long,us:long,cents:long>>, n long, emit_us long")).df
+    return out.select("n", F.aggregate("rows", F.lit(0).cast("long"), lambda a, x: a + x["cents"]).alias("total"), "emit_us")
+
+
+def _throttled(rows: str, part: str, every: int, limit: int, cost: str) -> str:
+    """A recursion over rows: the token bucket row by row."""
+    keys, same = ("user_id, ", "r.user_id = b.user_id AND ") if part else ("", "")
+    own = "r.user_id, " if part else ""
+    front = "greatest(r.us, b.emit_us)"
+    whole = f"(({front} - b.accrued) // {every})"
+    return f"""WITH RECURSIVE r AS (SELECT *, {cost} AS cost, row_number() OVER ({part}ORDER BY event_id) AS rn FROM {rows}),
+b AS (SELECT {keys}event_id, rn, us, CASE WHEN cost <= {limit} THEN us ELSE us + {every} * (cost - {limit}) END AS emit_us,
+    CASE WHEN cost <= {limit} THEN {limit} - cost ELSE 0 END AS tokens, CASE WHEN cost <= {limit} THEN us ELSE us + {every} * (cost - {limit}) END AS accrued FROM r WHERE rn = 1
   UNION ALL
-  SELECT user_id, event_id, rn, CASE WHEN cost <= t THEN now ELSE ticked + {12 * HOUR} * (cost - t) END,
-    CASE WHEN cost <= t THEN t - cost ELSE 0 END, CASE WHEN cost <= t THEN ticked ELSE ticked + {12 * HOUR} * (cost - t) END
-  FROM (SELECT r.user_id, r.event_id, r.rn, r.cost, greatest(r.us, b.emit_us) AS now,
-      b.accrued + (greatest(r.us, b.emit_us) - b.accrued) // {12 * HOUR} * {12 * HOUR} AS ticked,
-      CASE WHEN (greatest(r.us, b.emit_us) - b.accrued) // {12 * HOUR} > 0 THEN least(b.tokens + (greatest(r.us, b.emit_us) - b.accrued) // {12 * HOUR}, 4) ELSE b.tokens END AS t
-    FROM b JOIN r ON r.user_id = b.user_id AND r.rn = b.rn + 1) x)
-SELECT user_id, event_id, emit_us FROM b""")
+  SELECT {keys}event_id, rn, us, CASE WHEN cost <= t THEN front ELSE ticked + {every} * (cost - t) END,
+    CASE WHEN cost <= t THEN t - cost ELSE 0 END, CASE WHEN cost <= t THEN ticked ELSE ticked + {every} * (cost - t) END
+  FROM (SELECT {own}r.event_id, r.rn, r.us, r.cost, {front} AS front, b.accrued + {whole} * {every} AS ticked,
+      CASE WHEN {whole} > 0 THEN least(b.tokens + {whole}, {limit}) ELSE b.tokens END AS t
+    FROM b JOIN r ON {same}r.rn = b.rn + 1) x)"""
+
+
+@query(_throttled(E, "PARTITION BY user_id ", 12 * HOUR, 4, "1 + cents % 7") + " SELECT user_id, event_id, emit_us FROM b")
 def throttle(spark, sf_dir):
     """A token each 12 hours and at most 4 for each user; a row costs 1 to 7."""
     f = events(spark, sf_dir).keyed("user_id")
@@ -441,17 +524,24 @@ def throttle(spark, sf_dir):
     return f.then(timed.throttle(12 * HOUR, 4, "cost", "user_id long, event_id long, us long, cost long, emit_us long", "us")).df.select("user_id", "event_id", "emit_us")
 
 
+@query(_throttled(_BUYS, "", HOUR // 2, 3, "cents % 5") + " SELECT event_id, emit_us, greatest(us, lag(emit_us, 2) OVER (ORDER BY event_id)) AS pushed_us FROM b")
+def throttle_buffered(spark, sf_dir):
+    """The whole flow at a token each half hour, behind a buffer of two rows that holds the producer back."""
+    f = _buys(spark, sf_dir, (F.col("cents") % 5).alias("cost"))
+    return f.then(timed.throttle(HOUR // 2, 3, "cost", "event_id long, us long, cost long, emit_us long, pushed_us long", "us", room=2, pushed="pushed_us")).df.select("event_id", "emit_us", "pushed_us")
+
+
 @query(f"SELECT event_id, greatest(us, us + (cents % 11 - 5) * {HOUR}) AS emit_us FROM {E}")
 def delay(spark, sf_dir):
     return events(spark, sf_dir).then(timed.delay(F.col("us") + (F.col("cents") % 11 - 5) * HOUR, "us")).df.select("event_id", "emit_us")
 
 
-@query(f"SELECT user_id, event_id, greatest(us, us + (cents % 11 - 5) * {HOUR}) AS emit_us FROM {E}")
+@query(f"SELECT user_id, event_id, max(greatest(us, us + (cents % 11 - 5) * {24 * HOUR})) OVER (PARTITION BY user_id ORDER BY event_id) AS emit_us FROM {E}")
 def delay_buffered(spark, sf_dir):
-    """A buffer larger than any stream holds nothing back, so this equals the plain delay."""
+    """A buffer of one row: the next one comes in when it has left, so rows leave in order and late."""
     f = events(spark, sf_dir).keyed("user_id")
-    f = f.with_df(f.df.select("user_id", "event_id", "us", (F.col("us") + (F.col("cents") % 11 - 5) * HOUR).alias("deadline")))
-    return f.then(timed.delay_buffered("deadline", 1 << 40, "user_id long, event_id long, us long, deadline long, emit_us long", "us")).df.select("user_id", "event_id", "emit_us")
+    f = f.with_df(f.df.select("user_id", "event_id", "us", (F.col("us") + (F.col("cents") % 11 - 5) * 24 * HOUR).alias("deadline")))
+    return f.then(timed.delay_buffered("deadline", 1, "user_id long, event_id long, us long, deadline long, emit_us long", "us")).df.select("user_id", "event_id", "emit_us")
 
 
 @query(f"""SELECT user_id, CASE WHEN i = 0 THEN event_id ELSE -1 END AS event_id, us + i * {24 * HOUR} AS emit_us FROM (
@@ -478,12 +568,59 @@ def extrapolate(spark, sf_dir):
     return out.select("user_id", "event_id", "nth", "value", "emit_us")
 
 
-@query(f"SELECT user_id, event_id, us AS emit_us FROM {E}")
+#: Midnight before the first event, in microseconds.
+DAY_ONE = 1_704_067_200_000_000
+
+
+@query(f"""WITH r AS (SELECT event_id, us FROM {_BUYS} UNION ALL SELECT NULL, {DAY_ONE}), g AS (SELECT *, lead(us) OVER (ORDER BY event_id NULLS FIRST) - us AS gap FROM r)
+SELECT CASE WHEN i = 0 THEN event_id ELSE -1 END AS event_id, us + i * {HOUR // 4} AS emit_us
+FROM g, LATERAL (SELECT unnest(range(0, 1 + coalesce(greatest(CAST(ceil(gap / {HOUR // 4}.0) AS BIGINT) - 1, 0), 0))) AS i) r WHERE i > 0 OR event_id IS NOT NULL""")
+def keep_alive_whole(spark, sf_dir):
+    """A row every quarter of an hour of silence, from the start of the first day on, before the first row too."""
+    return _buys(spark, sf_dir).then(timed.keep_alive(HOUR // 4, "us", {"event_id": F.lit(-1)}, start=F.lit(DAY_ONE))).df.select("event_id", "emit_us")
+
+
+@query(f"""WITH r AS (SELECT event_id, us, cents FROM {_BUYS} UNION ALL SELECT NULL, {DAY_ONE}, 5),
+i AS (SELECT *, row_number() OVER (ORDER BY event_id NULLS FIRST) - 1 AS i, CAST(ceil((us - {DAY_ONE}) / {HOUR // 6}.0) AS BIGINT) AS c FROM r),
+t AS (SELECT *, i + max(c - i) OVER (ORDER BY i) AS tick FROM i), n AS (SELECT *, lead(tick) OVER (ORDER BY i) AS after FROM t),
+g AS (SELECT *, CASE WHEN after IS NULL THEN 0 ELSE least(after - tick - 1, cents % 4) END AS free FROM n)
+SELECT event_id, nth::INTEGER AS nth, CASE WHEN nth > 0 THEN cents - nth ELSE cents END AS value, ({DAY_ONE} + (tick + nth) * {HOUR // 6})::BIGINT AS emit_us
+FROM g, LATERAL (SELECT unnest(range(0, free + 1)) AS nth) n""")
+def extrapolate_whole(spark, sf_dir):
+    """From a first value of one's own on; each value goes on with as many more as its remainder by four says."""
+    f = _buys(spark, sf_dir)
+    more = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.col("value") - i)
+    more = F.slice(more, F.lit(1), (F.col("value") % 4).cast("int"))
+    f = f.with_df(f.df.select("event_id", "us", F.col("cents").alias("value")))
+    out = f.then(timed.extrapolate(HOUR // 6, "us", more, initial={"value": F.lit(5).cast("long")}, start=F.lit(DAY_ONE))).df
+    return out.select("event_id", "nth", "value", "emit_us")
+
+
+class _Settled(timed.Boundary):
+    """A row leaves once nothing has come for so long behind it; those before it are dropped."""
+
+    def __init__(self, quiet: int):
+        self.quiet, self.row, self.done = quiet, None, False
+
+    def on_push(self, ctl, row, now):
+        self.row, ctl.pull_at = row, now + self.quiet
+
+    def on_pull(self, ctl, now):
+        if self.row:
+            ctl.output.append(self.row)
+        self.row, ctl.pull_at, ctl.closed = None, timed.MAX, self.done
+
+    def on_complete(self, ctl, now):
+        self.done, ctl.pull_at = True, timed.MIN
+
+
+@query(f"""SELECT user_id, event_id, CASE WHEN gap IS NULL THEN us ELSE us + {36 * HOUR} END AS emit_us FROM (
+  SELECT *, lead(us) OVER (PARTITION BY user_id ORDER BY event_id) - us AS gap FROM {E}) WHERE gap IS NULL OR gap > {36 * HOUR}""")
 def deadline_boundary(spark, sf_dir):
-    """The extension point itself, with a boundary that buffers."""
+    """The extension point itself: of rows in quick succession the last, a day and a half later."""
     f = events(spark, sf_dir).keyed("user_id")
     f = f.with_df(f.df.select("user_id", "event_id", "us"))
-    return f.then(timed.boundary(lambda: timed.Buffer(8), "user_id long, event_id long, us long, emit_us long", "us")).df.select("user_id", "event_id", "emit_us")
+    return f.then(timed.boundary(lambda: _Settled(36 * HOUR), "user_id long, event_id long, us long, emit_us long", "us")).df.select("user_id", "event_id", "emit_us")
 
 
 # --- failure, completion, composition ---
@@ -515,6 +652,17 @@ def recover_step(spark, sf_dir):
     return _recovered(spark, sf_dir, lifecycle.recover_step)
 
 
+@query(f"""WITH bad AS (SELECT min(event_id) AS x FROM {E} WHERE cents % 1000 = 7)
+SELECT 0 AS src, event_id, 1000000 // (cents % 1000 - 7) AS share FROM {E}, bad WHERE event_id < coalesce(x, 1e18)
+UNION ALL SELECT 1, v, 11 FROM (SELECT unnest([7, 8]) AS v), bad WHERE x IS NOT NULL""".replace("1000000 // (cents % 1000 - 7)", "floor(1000000 / (cents % 1000 - 7))::BIGINT"))
+def recover_processing(spark, sf_dir):
+    """Processing that divides by nothing at some row; the other flow is told the error."""
+    f = events(spark, sf_dir, "event_id", "cents")
+    process = lambda r: {"event_id": r["event_id"], "share": 1_000_000 // (r["cents"] % 1000 - 7)}
+    other = lambda error: from_frame(spark.createDataFrame([(7, 11), (8, 11)] if error.startswith("ZeroDivisionError") else [], "event_id long, share long"), "event_id")
+    return f.then(lifecycle.recover_processing(process, "event_id long, share long", other)).df.select("src", "event_id", "share")
+
+
 @query("SELECT 0 AS src, event_id FROM events UNION ALL SELECT 1, x FROM (SELECT unnest([0, 0, 0]) AS x)")
 def also_complete(spark, sf_dir):
     f = events(spark, sf_dir)
@@ -529,18 +677,22 @@ def flat_map_merge(spark, sf_dir):
     return events(spark, sf_dir).then(op).df.select("sink", "event_id", "value")
 
 
-@query("""WITH RECURSIVE c AS (SELECT o_orderkey, (o_orderkey % 97 + 1)::BIGINT AS v, 0 AS step FROM orders
-UNION ALL SELECT o_orderkey, CASE WHEN v % 2 = 0 THEN v // 2 ELSE 3 * v + 1 END, step + 1 FROM c WHERE v <> 1 AND step < 200)
-SELECT o_orderkey, max(step) AS steps FROM c WHERE v = 1 GROUP BY o_orderkey""")
+@query("""WITH RECURSIVE c AS (SELECT DISTINCT (o_orderkey % 6199 + 1)::BIGINT AS v0, (o_orderkey % 6199 + 1)::BIGINT AS v, 0 AS step FROM orders
+UNION ALL SELECT v0, CASE WHEN v % 2 = 0 THEN v // 2 ELSE 3 * v + 1 END, step + 1 FROM c WHERE v <> 1)
+SELECT o_orderkey, step AS steps FROM orders JOIN c ON v0 = o_orderkey % 6199 + 1 WHERE v = 1""")
 def cycle(spark, sf_dir):
-    """A loop in the graph: values go round until they reach 1. Equal values share their rounds, so the loop is over distinct ones."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 97 + 1).cast("long").alias("v0"))
+    """A loop in the graph: values go round until they reach 1, however long it takes. Equal values share their rounds."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 6199 + 1).cast("long").alias("v0"))
     turn = lambda v: F.when(v % 2 == 0, F.floor(v / 2)).otherwise(3 * v + 1).cast("long").alias("v")
-    # One expression goes round inside a row: at most 200 steps, ended by the first 1.
-    start = F.struct(F.col("v0").alias("v"), F.lit(0).alias("n"))
-    state = F.aggregate(F.sequence(F.lit(1), F.lit(200)), start, lambda s, _: F.when(s["v"] == 1, s).otherwise(F.struct(turn(s["v"]), (s["n"] + 1).alias("n"))))
-    done = orders.select("v0").distinct().withColumn("s", state).where(F.col("s.v") == 1).select("v0", F.col("s.n").alias("steps"))
-    return orders.join(done, "v0").select("o_orderkey", "steps")
+    # One expression goes round 64 times inside a row; what has not arrived then goes through it again.
+    rounds = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct("v", "n"), lambda s, _: F.when(s["v"] == 1, s).otherwise(F.struct(turn(s["v"]), (s["n"] + 1).alias("n"))))
+    left, done = orders.select("v0", F.col("v0").alias("v"), F.lit(0).alias("n")).distinct(), None
+    while True:
+        went = stage(left.withColumn("s", rounds).select("v0", "s.v", "s.n"), "cycle")
+        there = went.where("v = 1").select(F.col("v0").alias("of"), F.col("n").alias("steps"))
+        done, left = there if done is None else done.union(there), went.where("v <> 1")
+        if left.isEmpty():
+            return orders.join(done, F.col("v0") == F.col("of")).select("o_orderkey", "steps")
 
 
 @query(f"""SELECT event_type, (rn // 100)::BIGINT AS batch_id, count(*) AS n, sum(cents)::BIGINT AS total, max(cents) AS high FROM (

@@ -1,7 +1,7 @@
 """The timed boundaries of ``operators.timed`` over streams.
 
-The hooks are the same; what changes is who drives them. A key's boundary lives in the state store, rows of a
-micro-batch are pushed in order of their time, and pulls whose deadline lies in the future become an event-time timer
+The folds are the same; what changes is who drives them. A key's state lives in the state store, rows of a
+micro-batch are taken in order of their time, and what leaves in the future becomes an event-time timer
 that fires once the watermark has passed it. So every boundary that runs over tables runs over streams, with the
 same outputs and emission times; what still waits when a stream ends stays in the state, to go on from.
 """
@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BinaryType, StructField, StructType, _parse_datatype_string
 
 from ..flow import Flow, Operator
-from ..operators.timed import MAX, Boundary, _Simulation
+from ..operators.timed import MAX, Boundary, Timed, as_fold
 
 
 def stream_flow(df: DataFrame, *order: str, clock: str | None = None, late: str = "0 seconds") -> Flow:
@@ -30,7 +30,9 @@ def stream_flow(df: DataFrame, *order: str, clock: str | None = None, late: str
 
 
 class BoundaryProcessor(StatefulProcessor):
-    def __init__(self, make: Callable[[], Boundary], schema: StructType, clock: str, order: tuple[str, ...], emit: str):
+    """Outputs that leave later than what has been seen wait in the state, for a timer."""
+
+    def __init__(self, make: Callable[[], Boundary | Timed], schema: StructType, clock: str, order: tuple[str, ...], emit: str):
         self.make, self.schema, self.clock, self.order, self.emit = make, schema, clock, order, emit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -38,39 +40,37 @@ class BoundaryProcessor(StatefulProcessor):
         self.held = handle.getValueState("boundary", StructType([StructField("held", BinaryType())]))
 
     def _load(self):
-        fold = _Simulation(self.make, self.clock, self.emit, 0)
-        return fold, pickle.loads(self.held.get()[0]) if self.held.exists() else fold.start()
+        fold = as_fold(self.make, self.clock, self.emit)
+        return fold, *(pickle.loads(self.held.get()[0]) if self.held.exists() else (fold.start(), []))
 
-    def _save(self, state) -> None:
+    def _give(self, fold: Timed, state, waiting: list[dict], until: int) -> Iterator[pd.DataFrame]:
+        now = [x for x in waiting if x[self.emit] <= until]
+        waiting = [x for x in waiting if x[self.emit] > until]
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
-        if state["ctl"].pull_at not in (MAX,) and state["ctl"].pull_at > state["now"]:
+        due = min([fold.next_due(state), *(x[self.emit] for x in waiting)])
+        if until < due < MAX:
             # Timers count milliseconds; one that fires within the deadline's millisecond is not too early by more.
-            self.handle.registerTimer(-(-state["ctl"].pull_at // 1000))
-        self.held.update((pickle.dumps(state),))
-
-    def _frame(self, rows: list[dict]) -> Iterator[pd.DataFrame]:
-        if rows:
-            yield pd.DataFrame(rows, columns=self.schema.names)
+            self.handle.registerTimer(-(-due // 1000))
+        self.held.update((pickle.dumps((state, waiting)),))
+        if now:
+            yield pd.DataFrame(now, columns=self.schema.names)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fold, state = self._load()
+        fold, state, waiting = self._load()
         new = pd.concat(list(rows)).sort_values([self.clock, *self.order], kind="stable")
-        out: list[dict] = []
         for row in new[[c for c in new.columns if c in self.schema.names]].to_dict("records"):
-            out += fold.step(state, row)
-        self._save(state)
-        yield from self._frame(out)
+            waiting += fold.step(state, row)
+        yield from self._give(fold, state, waiting, int(new[self.clock].iloc[-1]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        fold, state = self._load()
-        out: list[dict] = []
-        fold._pull_until(state, expiredTimerInfo.getExpiryTimeInMs() * 1000, True, out)
-        self._save(state)
-        yield from self._frame(out)
+        fold, state, waiting = self._load()
+        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        waiting += fold.due(state, until)
+        yield from self._give(fold, state, waiting, until)
 
 
-def stream_boundary(make: Callable[[], Boundary], schema: str, clock: str, event_time: str, emit: str = "emit_us") -> Operator:
+def stream_boundary(make: Callable[[], Boundary | Timed], schema: str, clock: str, event_time: str, emit: str = "emit_us") -> Operator:
     """``timed.boundary`` for a streaming flow, keyed; ``clock`` is in microseconds, ``event_time`` its watermarked timestamp.
 
     ``schema`` has the columns that pass through, and ``emit``. The session must keep its state in RocksDB.

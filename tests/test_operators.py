@@ -97,9 +97,9 @@ def test_staged_tables_are_released(spark):
     from flowline.plans.staging import release, shared_dir, stage
 
     got = stage(spark.range(5), "five")
-    assert got.count() == 5 and any("five" in x for x in os.listdir(shared_dir(spark)))
+    assert got.count() == 5 and any("five" in x for x in os.listdir(shared_dir(spark).removeprefix("file://")))
     release()
-    assert not any("five" in x for x in os.listdir(shared_dir(spark)))
+    assert not any("five" in x for x in os.listdir(shared_dir(spark).removeprefix("file://")))
 
 
 def test_route_and_bad_index(spark):
@@ -263,17 +263,113 @@ def test_extrapolate(spark, seed):
     assert got == sorted(want)
 
 
-def test_buffer_and_identities(spark):
-    f = timed_flow(spark, random_rows(1))
-    out = f.then(timed.boundary(lambda: timed.Buffer(2), "k int, pos long, us long, x long, emit_us long", "us"))
-    assert {(r.pos, r.emit_us) for r in out.df.collect()} == {(r[1], r[2]) for r in random_rows(1)}
+@pytest.mark.parametrize("keyed", [True, False])
+def test_paced_buffer(spark, keyed):
+    """A producer that waits for room, a consumer that takes a row each 5 microseconds: step by step."""
+    rows = random_rows(1)
+    rows = rows if keyed else [(0, *r[1:]) for r in rows]
+    f = timed_flow(spark, rows)
+    out = (f if keyed else f.keyed()).then(timed.buffer(3, "us", 5)).df.collect()
+    for k in {r[0] for r in rows}:
+        left: list[int] = []
+        want = {}
+        for i, (_, pos, us, _) in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: r[1])):
+            pushed = max(us, left[i - 3]) if i >= 3 else us
+            left.append(max(pushed, left[-1] + 5) if left else pushed)
+            want[pos] = (left[-1], pushed)
+        assert {r.pos: (r.emit_us, r.pushed_us) for r in out if r.k == k} == want
     for op in (timed.rendezvous(), timed.buffer(1), lifecycle.synchronize()):
         assert values(ints(spark, 3, 1, 2).then(op)) == [3, 1, 2]
-    for bad in (lambda: timed.buffer(0), lambda: timed.batch_count(0), lambda: timed.keep_alive(0, "us", {}), lambda: timed.throttle(0, 1, "x", "", "us")):
+    for bad in (lambda: timed.buffer(0), lambda: timed.batch_count(0), lambda: timed.keep_alive(0, "us", {}), lambda: timed.throttle(0, 1, "x", "", "us"), lambda: timed.throttle(1, 1, "x", "", "us", room=0)):
         with pytest.raises(ValueError):
             bad()
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_whole_flows_equal_one_key(spark, seed):
+    """Without key, a flow gives what it gives as the only stream of a key."""
+    rows = [(0, i, us, x) for i, (_, _, us, x) in enumerate(sorted(random_rows(seed, 40), key=lambda r: (r[2], r[1])))]
+    schema = "k int, pos long, us long, x long, emit_us long"
+    member = "array<struct<k:int,pos:long,us:long,x:long>>"
+    ops = [
+        timed.throttle(4, 3, "x", schema, "us"), timed.delay_buffered("x", 2, schema, "us"), timed.keep_alive(3, "us", {"x": F.lit(-1)}, start=F.lit(-10)),
+        timed.extrapolate(4, "us", F.col("x") + 100 * F.col("nth"), 2, name="x", initial={"x": F.lit(3).cast("long")}, start=F.lit(-9)),
+        timed.batch(lambda r: timed.MIN if sum(x["x"] for x in r) > 6 else r[0]["us"] + 9 if len(r) == 1 else None, "us", f"rows {member}, n long, emit_us long"),
+        gather.gather(gather.Gatherer(lambda s, r, push: push({"k": r["k"], "s": s.update(n=s.get("n", 0) + r["x"]) or s["n"]}) or True), "k int, s long"),
+    ]
+    for op in ops:
+        one, whole = timed_flow(spark, rows).then(op).df, timed_flow(spark, rows).keyed().then(op).df
+        plain = lambda df: sorted(repr(sorted((k, v) for k, v in r.asDict().items() if k != "k")) for r in df.collect())
+        assert plain(one) == plain(whole)
+
+
+def test_throttle_tells_when_a_full_buffer_let_rows_in(spark):
+    rows = [(0, i, 0, 2) for i in range(5)]
+    schema = "k int, pos long, us long, x long, emit_us long, pushed long"
+    out = timed_flow(spark, rows).then(timed.throttle(10, 2, "x", schema, "us", room=2, pushed="pushed"))
+    assert values(out, "emit_us", "pushed") == [(0, 0), (20, 0), (40, 0), (60, 20), (80, 40)]
+
+
+def test_batch_keeps_its_deadline(spark):
+    """No new deadline keeps the old one, and a batch without any waits for the end."""
+    rows = [(0, i, t, 0) for i, t in enumerate([0, 4, 30, 31])]
+    schema = "rows array<struct<k:int,pos:long,us:long,x:long>>, n long, emit_us long"
+    out = timed_flow(spark, rows).then(timed.batch(lambda r: 10 if len(r) == 1 and r[0]["us"] == 0 else None, "us", schema))
+    assert [(r.n, r.emit_us) for r in out.df.orderBy("emit_us").collect()] == [(2, 10), (2, 31)]
+
+
+def test_keep_alive_from_the_start(spark):
+    rows = [(0, 0, 25, 1), (0, 1, 30, 2), (1, 2, 5, 3)]
+    out = timed_flow(spark, rows).then(timed.keep_alive(10, "us", {"x": F.lit(-1)}, start=F.lit(0)))
+    assert sorted((r.k, r.emit_us, r.x) for r in out.df.collect()) == [(0, 10, -1), (0, 20, -1), (0, 25, 1), (0, 30, 2), (1, 5, 3)]
+
+
+def test_split_cancels(spark):
+    f = ints(spark, 0, 1, 1, 1, 1, 0, 1, 1)
+    at = F.col("v") == 0
+    assert values(f.then(group.split_take(at, 3)), "segment") == [1, 1, 1, 2, 2, 3, 3, 3]
+    assert values(f.then(group.split_take(at, 3, eager=True)), "segment") == [1, 1, 1]
+    assert values(f.then(group.split_take(at, 9, eager=True)), "segment") == [1, 1, 1, 1, 1, 2, 2, 2]
+    two = f.with_df(f.df.withColumn("k", F.lit(1)))
+    assert values(two.then(group.split_take(at, 3, ["k"], eager=True)), "segment") == [1, 1, 1]
+    assert values(f.then(group.split_take(at, 2, after=True)), "segment") == [1, 2, 2, 3, 3, 4, 5, 5]
+
+
+def test_recover_from_failing_processing(spark):
+    op = lifecycle.recover_processing(lambda r: {"pos": r["pos"], "v": 12 // r["v"]}, "pos long, v int", lambda error: ints(spark, *([7, 8] if "ZeroDivision" in error else [])))
+    assert values(ints(spark, 1, 2, 3, 0, 4).then(op)) == [12, 6, 4, 7, 8]
+    assert values(ints(spark, 1, 2).then(op)) == [12, 6]
+
+
+class Pairs(timed.Boundary):
+    """Two rows at a time are added up, by a clock that runs at half speed."""
+
+    def __init__(self):
+        self.held = None
+
+    def clock(self, row, column):
+        return row[column] // 2
+
+    def on_push(self, ctl, row, now):
+        if self.held is None:
+            self.held = row
+        else:
+            self.held, ctl.pull_at = {**row, "x": row["x"] + self.held["x"]}, timed.MIN
+
+    def on_pull(self, ctl, now):
+        if ctl.pull_at == timed.MIN:
+            ctl.output.append(self.held)
+        self.held, ctl.pull_at = None, timed.MAX
+
+    def on_complete(self, ctl, now):
+        ctl.closed = True
+
+
+def test_boundary_with_its_own_clock(spark):
+    out = timed_flow(spark, [(0, i, 10 * i, i) for i in range(5)]).then(timed.boundary(Pairs, "k int, pos long, us long, x long, emit_us long", "us"))
+    assert values(out, "x", "emit_us") == [(1, 5), (5, 15)]
+
+
 # --- parallel map ---
 
 
@@ -394,3 +490,15 @@ def test_collectors(spark):
     assert (a.n, a.total, a.average, a.low, a.high, a["items"], a.joined, a.result) == (2, 5, 2.5, 2, 3, [3, 2], "3-2", 32)
     with pytest.raises(ValueError):
         Flow(f.df, f.order).window()
+
+
+def test_staged_tables_go_with_their_scope(spark):
+    import os
+
+    from flowline.plans import staging
+
+    outer = staging.stage(ints(spark, 1).df, "outer")
+    with staging.scope():
+        inner = staging.stage(ints(spark, 2).df, "inner").inputFiles()[0]
+        assert os.path.exists(inner.removeprefix("file:").replace("///", "/"))
+    assert not os.path.exists(inner.removeprefix("file:").replace("///", "/")) and outer.count() == 1

@@ -47,7 +47,7 @@ def test_stateless_operators(spark, files, tmp_path):
 @pytest.mark.parametrize("name", ["throttle", "delay"])
 def test_boundaries_equal_batch(spark, files, tmp_path, name):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    make = {"throttle": lambda: timed.Throttle(3_000_000, 2, "x"), "delay": lambda: timed.BufferedDelay("x", 10, ())}[name]
+    make = {"throttle": lambda: timed.Throttled(3_000_000, 2, "x"), "delay": lambda: timed.Delayed("x", 10)}[name]
     shift = F.col("us") + F.col("x") * 1_500_000 if name == "delay" else F.col("x")
     batch = Flow(spark.createDataFrame(files[1], "k long, pos long, us long, x long").withColumn("x", shift), ("pos",), ("k",), "us")
     want = {(r.pos, r.emit_us) for r in batch.then(timed.boundary(make, OUT, "us")).df.collect()}
