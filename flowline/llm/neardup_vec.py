@@ -1,15 +1,17 @@
 """Near-duplicate vectors by sorted projection passes.
 
-In each pass every vector gets ``BITS`` signs of random projections, concatenated to a key; vectors are sorted by
-label and key, and each one is compared with its ``WINDOW`` predecessors. Two vectors at cosine 0.98 agree in one
+In each pass every vector gets ``BITS`` signs of random projections of its distance from its label's mean (without that,
+vectors with much in common would mostly agree), concatenated to a key; vectors are sorted by label and key, and each one is compared with its ``WINDOW`` predecessors. Two vectors at cosine 0.98 agree in one
 sign with probability 0.94, so close vectors keep long common prefixes and are neighbours in some pass. The more
 vectors a label has, the longer a prefix must be, so passes follow the label's size: as many as leave a pair that
 comes into a window with probability (size / WINDOW) ** -``CROWD`` in a pass a chance of ``MISSED`` to come into none.
 Pairs verified in double precision are all united, inside the task already: a block of a pass gives at most one link a
 vector, a spanning forest of all its pairs.
 
-A window is bounded, links aren't: in a dense cluster a vector has more partners than a window holds. So what the
-passes settle are components, and links are then counted exactly inside each component. In one of more than ``BLOCK``
+A window is bounded, links aren't: in a dense cluster a vector has more partners than a window holds. So of each component
+that is larger than a window, the vector of most links (its hub) is compared with all vectors of its label: hubs are held in
+blocks while the label streams past. What passes and hubs settle are components, and links are then counted exactly
+inside each component. In one of more than ``BLOCK``
 vectors, those within half the angle of a link around its mean (the core) all link to each other, which needs no
 product; vectors outside the core (queries, in held blocks) are multiplied with all (entries, in parts that stream past).
 Only counts leave a task. Equal vectors of one label are one row with a multiplicity.
@@ -36,9 +38,9 @@ from .vectors import matrix, usable
 
 LEAST = 0.98
 WINDOW, BITS = 128, 48
-CROWD, MISSED, MOST_PASSES = 0.12, 1e-4, 64
+CROWD, MISSED, MOST_PASSES = 0.16, 1e-4, 64
 BLOCK = 512
-#: Parts of a label in the join that gives vectors its size.
+#: Parts of a label in the join that gives vectors its size and mean.
 SALTS = 32
 
 
@@ -59,6 +61,29 @@ def projections(dim: int) -> np.ndarray:
     return np.random.default_rng(7).standard_normal((MOST_PASSES * BITS, dim)).T
 
 
+def _sums(batches):
+    """Sums of unit vectors by label and dimension, of each batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes, labels = np.array([len(v) for v in batch.column("v")]), batch.column("label").to_numpy()
+        out = []
+        for dim in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == dim)
+            names, place = np.unique(labels[at], return_inverse=True)
+            total = np.zeros((len(names), dim))
+            np.add.at(total, place, unit(matrix(batch.column("v").take(pa.array(at)))))
+            out += zip(names.tolist(), [dim] * len(names), np.bincount(place).tolist(), total.tolist(), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64())), strict=True)], ["label", "dim", "n", "s"])
+
+
+def label_means(vectors: DataFrame) -> DataFrame:
+    """(label, v) -> label, dim, size, mean: of each label's unit vectors of a dimension."""
+    sums = vectors.select("label", "v").mapInArrow(_sums, "label long, dim int, n long, s array<double>")
+    at = sums.select("label", "dim", "n", F.posexplode("s").alias("at", "x")).groupBy("label", "dim", "at").agg(F.sum("n").alias("size"), (F.sum("x") / F.sum("n")).alias("x"))
+    return at.groupBy("label", "dim").agg(F.max("size").alias("size"), F.array_sort(F.collect_list(F.struct("at", "x"))).alias("m")).select("label", "dim", "size", F.col("m.x").alias("mean"))  # one vector each
+
+
 def _keys(batches):
     powers = (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)).astype(np.int64)
     for batch in batches:
@@ -66,7 +91,8 @@ def _keys(batches):
         passes = np.array([passes_of(n) for n in labels.tolist()], dtype=int)
         for dim, n in sorted({*zip(sizes.tolist(), passes.tolist(), strict=True)}):
             part = batch.filter(pa.array((sizes == dim) & (passes == n)))
-            signs = (matrix(part.column("v")) @ projections(dim)[:, : n * BITS] > 0).reshape(len(part), n, BITS)
+            away = unit(matrix(part.column("v"))) - matrix(part.column("mean"))
+            signs = (away @ projections(dim)[:, : n * BITS] > 0).reshape(len(part), n, BITS)
             yield pa.RecordBatch.from_arrays([part.column(c) for c in ("label", "cid", "v")] + [pa.array((signs @ powers).tolist(), pa.list_(pa.int64()))], ["label", "cid", "v", "keys"])
 
 
@@ -86,7 +112,10 @@ def forest(close: np.ndarray, offset: int) -> np.ndarray:
 
 
 def _neighbours(batches):
-    """Compare each row with its predecessors in order; links as (vector, least vector that it reaches in the block)."""
+    """Compare each row with its predecessors in order; links as (vector, least vector that it reaches in the block, 0).
+
+    How many links a vector has in a block is told as (vector, vector, links).
+    """
     held: list = []  # (pass, label, dim), units and ids of the last rows
     for batch in batches:
         if not batch.num_rows:
@@ -94,7 +123,7 @@ def _neighbours(batches):
         passes, labels, ids = (batch.column(c).to_numpy() for c in ("pass", "label", "cid"))
         sizes = np.array([len(v) for v in batch.column("v")])
         cut = np.flatnonzero((passes[1:] != passes[:-1]) | (labels[1:] != labels[:-1]) | (sizes[1:] != sizes[:-1])) + 1
-        a, b = [], []
+        a, b, links = [], [], []
         for start, stop in zip([0, *cut], [*cut, len(ids)], strict=True):
             for at in range(start, stop, 2048):
                 high = min(stop, at + 2048)
@@ -113,9 +142,58 @@ def _neighbours(batches):
                         linked = np.flatnonzero(low != np.arange(len(low)))
                         a += own[first + linked].tolist()
                         b += own[first + low[linked]].tolist()
+                        degree = close.sum(axis=0)
+                        degree[x - first :] += close.sum(axis=1)
+                        some = np.flatnonzero(degree)
+                        links += [0] * len(linked) + degree[some].tolist()
+                        a += own[first + some].tolist()
+                        b += own[first + some].tolist()
                 held = [key, part[-WINDOW:], own[-WINDOW:]]
         if a:
-            yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b, "links": links})
+
+
+def _hub_links(batches):
+    """Rows by (label, dim, block, part), the held hubs first: (vector, hub) of all links."""
+    key, held, hubs = None, [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("label", "dim", "block", "part", "held")]
+        cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in at], axis=0)) + 1
+        for start, stop in zip([0, *cut], [*cut, batch.num_rows], strict=True):
+            now, part = tuple(x[start] for x in at[:4]), batch.slice(start, stop - start)
+            if now != key:
+                key, held, hubs = now, [], None
+            rows = unit(matrix(part.column("v"))), part.column("cid").to_numpy()
+            if at[4][start]:
+                held.append(rows)
+                continue
+            if hubs is None:
+                hubs = [np.concatenate(x) for x in zip(*held, strict=True)]
+            for i in range(0, part.num_rows, 2048):
+                x, y = np.nonzero(rows[0][i : i + 2048] @ hubs[0].T >= LEAST)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[1][i + x]), pa.array(hubs[1][y])], ["a", "b"])
+
+
+def hub_links(known: DataFrame, degrees: DataFrame, copies: DataFrame) -> DataFrame:
+    """Links of the hub of each large component with all vectors of its label."""
+    large = known.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > WINDOW).select("component")
+    named = known.join(large, "component").join(degrees, F.col("vertex") == F.col("of"))
+    hubs = named.groupBy("component").agg(F.max(F.struct("degree", "vertex")).alias("top")).select(F.col("top.vertex").alias("hub"))
+    rows = copies.select("label", F.size("v").alias("dim"), "cid", "v")
+    hubs = spill(hubs.join(rows, F.col("hub") == F.col("cid")).drop("hub"), "hubs")
+    per = hubs.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    per = rows.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / (8 * BLOCK)).cast("int").alias("parts")).join(per, ["label", "dim"])
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    share = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
+    salted = per.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    entries = rows.withColumn("salt", F.pmod("cid", F.lit(SALTS)).cast("int")).join(salted, ["label", "dim", "salt"])
+    entries = entries.select("label", "dim", "cid", "v", every("blocks").alias("block"), share("parts").alias("part"), F.lit(False).alias("held"))
+    queries = hubs.join(per, ["label", "dim"]).select("label", "dim", "cid", "v", share("blocks").alias("block"), every("parts").alias("part"), F.lit(True).alias("held"))
+    at = ["label", "dim", "block", "part"]
+    both = entries.union(queries).repartition(*at).sortWithinPartitions(*at, F.desc("held"))
+    return both.mapInArrow(_hub_links, "a long, b long").where("a != b")
 
 
 def _core(batches):
@@ -207,13 +285,18 @@ def link_vectors(embeddings: DataFrame) -> DataFrame:
     copies = rows.where("hash is not null").groupBy("hash").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"), F.min("label").alias("label"), F.min("v").alias("v"))
     copies = spill(copies.withColumn("cid", F.monotonically_increasing_id()), "copies")
 
-    sizes = copies.groupBy("label").agg(F.count(F.lit(1)).alias("size")).select(F.col("label").alias("of"), "size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    sized = copies.join(sizes, (F.col("label") == F.col("of")) & (F.pmod("cid", F.lit(SALTS)) == F.col("salt")))
-    keyed = sized.select("label", "cid", "v", "size").mapInArrow(_keys, "label long, cid long, v array<double>, keys array<long>")
+    means = spill(label_means(copies), "means").select(F.col("label").alias("of"), "dim", "size", "mean", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    sized = copies.join(means, (F.col("label") == F.col("of")) & (F.size("v") == F.col("dim")) & (F.pmod("cid", F.lit(SALTS)) == F.col("salt")))
+    keyed = sized.select("label", "cid", "v", "size", "mean").mapInArrow(_keys, "label long, cid long, v array<double>, keys array<long>")
     keyed = keyed.select("label", "cid", "v", F.size("v").alias("dim"), F.posexplode("keys").alias("pass", "key"))
     keyed = keyed.repartitionByRange("pass", "label", "dim", "key", "cid").sortWithinPartitions("pass", "label", "dim", "key", "cid")
-    links = keyed.select("pass", "label", "cid", "v").mapInArrow(_neighbours, "a long, b long").distinct()
+    found = keyed.select("pass", "label", "cid", "v").mapInArrow(_neighbours, "a long, b long, links long")
+    found = spill(found.groupBy("a", "b").agg(F.sum("links").alias("links")), "found")
+    links, degrees = found.where("a != b").select("a", "b"), found.where("a = b").select(F.col("a").alias("of"), F.col("links").alias("degree"))
     known = spill(components(links), "known")
+    more = spill(hub_links(known, degrees, copies), "more")
+    if not more.isEmpty():
+        known = spill(components(links.union(more)), "known")
 
     counted = count_links(known, copies)
     least = known.join(copies, F.col("vertex") == F.col("cid")).groupBy("component").agg(F.min("low").alias("least"))

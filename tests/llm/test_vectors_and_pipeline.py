@@ -119,6 +119,16 @@ def searched(frame, **how):
     return got
 
 
+def test_one_large_star(spark):
+    """A hub with more partners than windows hold, which are no partners of each other."""
+    v = stars(1, 2500)[0]
+    rows = [(int(i), x.tolist(), 1) for i, x in enumerate(v)]
+    got = neardup_vec.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    close = v @ v.T >= 0.98
+    assert {r.component_id for r in got} == {0}
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate((close.sum(axis=1) - 1).tolist()))
+
+
 def test_dense_cluster_needs_no_products(spark, monkeypatch):
     """Vectors in the core of a large component are counted, not multiplied."""
     rng = np.random.default_rng(2)
