@@ -12,7 +12,8 @@ Formatting and reading back work turn by turn, so a long conversation is spread
 conversation in order: its rows are sorted (on disk if need be) and run through with a few running totals.
 
 Null roles and texts are empty. Rows of one conversation are ordered by turn (null first), ties by role, then
-text; repeated rows stay. Null conv_ids form one conversation. An empty table gives an empty result.
+text; repeated rows stay. Null conv_ids form one conversation. An empty table gives an empty result. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import slices
 

@@ -14,7 +14,8 @@ meet in one suffix array, and no array may hold the corpus:
   different segments is divided into single windows filed under their own digests as well, without limit.
 
 Texts are UTF-8, whole texts; null is empty; no string crosses documents. Copies of a row (doc_id and text) are
-documents of their own, so they repeat each other. Texts shorter than LENGTH are left alone.
+documents of their own, so they repeat each other. Texts shorter than LENGTH are left alone. A null doc_id is a
+value like others. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

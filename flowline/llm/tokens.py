@@ -7,7 +7,8 @@ sides next to each other, so no merge of the library can ever cross it, and both
 other weren't there. Where the overlap holds no such boundary it is doubled, up to the whole rest of the text,
 so counts equal those of the library on the whole text.
 
-Null texts count as empty: no bytes, no tokens. Repeated rows give repeated rows.
+Null texts count as empty: no bytes, no tokens. A null doc_id is a value like others. Repeated rows give repeated
+rows. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
