@@ -522,8 +522,9 @@ def brute_repeats(rows, n=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [1 << 14, 2])
-def test_repeats_of_odd_rows(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "few"), [(1 << 14, suffix.FEW), (2, suffix.FEW), (1 << 14, 3), (2, 1)])
+def test_repeats_of_odd_rows(spark, monkeypatch, hot, few):
+    """Few: from how many segments on a hash counts as frequent."""
     monkeypatch.setattr(suffix, "HOT", hot)
     rows = [r[:2] for r in odd_rows() if len(r[1] or "") < 10_000]
     rng = random.Random(2)
@@ -531,13 +532,15 @@ def test_repeats_of_odd_rows(spark, monkeypatch, hot):
     rows += [(100 + i, "".join(rng.choices("klmnop", k=rng.randrange(300))) + passage[: 200 + i] + "".join(rng.choices("qrst", k=150))) for i in range(12)]
     rows += [(200, "z" * 199), (201, "y" * 200), (202, "x" * 201), (203, ("abc" * 90) + "é" * 120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert Counter(map(tuple, suffix.strip_repeats(docs).collect())) == brute_repeats(rows)
+    assert Counter(map(tuple, suffix.strip_repeats(docs, few).collect())) == brute_repeats(rows)
 
 
 def test_repeats_small_table(spark, small):
     docs = table(spark, small, "documents")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert Counter(map(tuple, suffix.strip_repeats(docs).collect())) == brute_repeats(rows)
+    want = brute_repeats(rows)
+    assert Counter(map(tuple, suffix.strip_repeats(docs).collect())) == want
+    assert Counter(map(tuple, suffix.strip_repeats(docs, few=4).collect())) == want
 
 
 def test_texts_in_blocks(monkeypatch):
@@ -546,13 +549,13 @@ def test_texts_in_blocks(monkeypatch):
 
     rng = random.Random(12)
     texts = ["".join(rng.choices("abcd", k=n)) for n in (150, 200, 3000, 1000)]
-    batch = pa.RecordBatch.from_pydict({"rk": [1, 2, 3, 4], "text": texts})
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3, 4], "th": [0] * 4, "text": texts})
 
     def windows():
         out = {}
         for b in suffix._segments([batch]):
             for r in b.to_pylist():
-                out |= {(r["rk"], s): r["m"] for s in range(r["start"], r["start"] + r["n"])}
+                out |= {(r["id"], s): r["m"] for s in range(r["start"], r["start"] + r["n"])}
         return out
 
     whole = windows()
