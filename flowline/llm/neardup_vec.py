@@ -10,8 +10,10 @@ vector, a spanning forest of all its pairs.
 
 A window is bounded, links aren't: in a dense cluster a vector has more partners than a window holds. So of each component
 that is larger than a window, the vector of most links (its hub) is compared with all vectors of its label: hubs are held in
-blocks while the label streams past. What passes and hubs settle are components, and links are then counted exactly
-inside each component. In one of more than ``BLOCK``
+blocks while the label streams past. Of the components that this makes, those larger than a window are then settled exactly:
+members whose angles to the hub leave room for a link with a vector outside are compared with all vectors outside that
+leave it. So a link can only be missed between two components of a window's size at most, if all passes miss it.
+What is settled are components, and links are then counted exactly inside each component. In one of more than ``BLOCK``
 vectors, those within half the angle of a link around its mean (the core) all link to each other, which needs no
 product; vectors outside the core (queries, in held blocks) are multiplied with all (entries, in parts that stream past).
 Only counts leave a task. Equal vectors of one label are one row with a multiplicity.
@@ -153,9 +155,21 @@ def _neighbours(batches):
             yield pa.RecordBatch.from_pydict({"a": a, "b": b, "links": links})
 
 
-def _hub_links(batches):
-    """Rows by (label, dim, block, part), the held hubs first: (vector, hub) of all links."""
-    key, held, hubs = None, [], None
+def _away(batches):
+    """Members with their component's hub: the angle between the two."""
+    for batch in batches:
+        if batch.num_rows:
+            sizes, angles = np.array([len(v) for v in batch.column("v")]), np.zeros(batch.num_rows)
+            for dim in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == dim)
+                v, hub = (unit(matrix(batch.column(c).take(pa.array(at)))) for c in ("v", "hub"))
+                angles[at] = np.arccos(np.clip((v * hub).sum(axis=1), -1, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("component", "label", "cid", "v")] + [pa.array(angles)], ["component", "label", "cid", "v", "away"])
+
+
+def _facing(batches):
+    """Rows by (label, dim, block, part), the held ones first: entries of other components within the reach of a held row."""
+    key, held, known = None, [], None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -164,36 +178,74 @@ def _hub_links(batches):
         for start, stop in zip([0, *cut], [*cut, batch.num_rows], strict=True):
             now, part = tuple(x[start] for x in at[:4]), batch.slice(start, stop - start)
             if now != key:
-                key, held, hubs = now, [], None
-            rows = unit(matrix(part.column("v"))), part.column("cid").to_numpy()
+                key, held, known = now, [], None
+            rows = unit(matrix(part.column("v"))), *(part.column(c).to_numpy() for c in ("cid", "component", "reach"))
             if at[4][start]:
                 held.append(rows)
                 continue
-            if hubs is None:
-                hubs = [np.concatenate(x) for x in zip(*held, strict=True)]
+            if known is None:
+                known = [np.concatenate(x) for x in zip(*held, strict=True)]
             for i in range(0, part.num_rows, 2048):
-                x, y = np.nonzero(rows[0][i : i + 2048] @ hubs[0].T >= LEAST)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[1][i + x]), pa.array(hubs[1][y])], ["a", "b"])
-
-
-def hub_links(known: DataFrame, degrees: DataFrame, copies: DataFrame) -> DataFrame:
-    """Links of the hub of each large component with all vectors of its label."""
-    large = known.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > WINDOW).select("component")
-    named = known.join(large, "component").join(degrees, F.col("vertex") == F.col("of"))
-    hubs = named.groupBy("component").agg(F.max(F.struct("degree", "vertex")).alias("top")).select(F.col("top.vertex").alias("hub"))
-    rows = copies.select("label", F.size("v").alias("dim"), "cid", "v")
-    hubs = spill(hubs.join(rows, F.col("hub") == F.col("cid")).drop("hub"), "hubs")
-    per = hubs.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    per = rows.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / (8 * BLOCK)).cast("int").alias("parts")).join(per, ["label", "dim"])
+                cosine = rows[0][i : i + 2048] @ known[0].T
+                x, y = np.nonzero((cosine >= known[3]) & (rows[2][i : i + 2048, None] != known[2]))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[1][i + x]), pa.array(known[1][y]), pa.array(cosine[x, y])], ["a", "b", "cosine"])
+
+
+def facing(queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """Entries (a) and queries (b) of the same label and dimension, but different components, whose cosine is the query's ``reach`` at least.
+
+    Both sides have label, dim, cid, v and component. Queries are held in blocks, entries stream past them in parts.
+    """
+    by = ["label", "dim"]
+    blocks = lambda rows, size, name: rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    per = blocks(entries, 8 * BLOCK, "parts").join(blocks(queries, BLOCK, "blocks"), by)
+    salted = per.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     share = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
-    salted = per.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    entries = rows.withColumn("salt", F.pmod("cid", F.lit(SALTS)).cast("int")).join(salted, ["label", "dim", "salt"])
-    entries = entries.select("label", "dim", "cid", "v", every("blocks").alias("block"), share("parts").alias("part"), F.lit(False).alias("held"))
-    queries = hubs.join(per, ["label", "dim"]).select("label", "dim", "cid", "v", share("blocks").alias("block"), every("parts").alias("part"), F.lit(True).alias("held"))
-    at = ["label", "dim", "block", "part"]
+    sized = lambda rows: rows.withColumn("salt", F.pmod("cid", F.lit(SALTS)).cast("int")).join(salted, [*by, "salt"])
+    own = [*by, "cid", "v", "component"]
+    entries = sized(entries).select(*own, F.lit(0.0).alias("reach"), every("blocks").alias("block"), share("parts").alias("part"), F.lit(False).alias("held"))
+    queries = sized(queries).select(*own, "reach", share("blocks").alias("block"), every("parts").alias("part"), F.lit(True).alias("held"))
+    at = [*by, "block", "part"]
     both = entries.union(queries).repartition(*at).sortWithinPartitions(*at, F.desc("held"))
-    return both.mapInArrow(_hub_links, "a long, b long").where("a != b")
+    return both.mapInArrow(_facing, "a long, b long, cosine double")
+
+
+def placed(known: DataFrame, copies: DataFrame) -> DataFrame:
+    """All vectors with their component, which is their own number where they have no links."""
+    rows = copies.join(known, F.col("cid") == F.col("vertex"), "left")
+    return rows.select("label", F.size("v").alias("dim"), "cid", "v", F.coalesce("component", "cid").alias("component"))
+
+
+def hubs_of(rows: DataFrame, degrees: DataFrame) -> DataFrame:
+    """Of each component that is larger than a window, the vector of most links."""
+    large = rows.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > WINDOW).select("component")
+    named = rows.select("component", "cid").join(large, "component").join(degrees, F.col("cid") == F.col("of"))
+    top = named.groupBy("component").agg(F.max(F.struct("degree", "cid")).alias("top")).select(F.col("top.cid").alias("hub"))
+    return spill(rows.join(top, F.col("cid") == F.col("hub")).drop("hub"), "hubs")
+
+
+def rest_links(rows: DataFrame, hubs: DataFrame) -> DataFrame | None:
+    """All links between a component with a hub and the vectors outside it, or None if no angle leaves room for one.
+
+    A member at angle x of its hub and a vector at angle y of it are y - x apart at least. So only vectors within the
+    largest x and the angle of a link of the hub matter, and only members that the nearest of these could link to.
+    """
+    link, room = math.acos(LEAST), 1e-6
+    salted = hubs.select(F.col("component").alias("of"), F.col("v").alias("hub"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    members = rows.join(salted, (F.col("component") == F.col("of")) & (F.pmod("cid", F.lit(SALTS)) == F.col("salt")))
+    members = spill(members.select("component", "label", "cid", "v", "hub").mapInArrow(_away, "component long, label long, cid long, v array<double>, away double"), "away")
+    reach = members.groupBy("component").agg(F.cos(F.least(F.max("away") + link + room, F.lit(math.pi))).alias("reach"))
+    near = facing(hubs.join(reach, "component"), rows).join(hubs.select("cid", "component"), F.col("b") == F.col("cid"))
+    near = spill(near.select("component", "a", F.acos(F.least("cosine", F.lit(1.0))).alias("off")), "outside")
+    if near.isEmpty():
+        return None
+    nearest = near.groupBy("component").agg(F.min("off").alias("nearest"))
+    asking = members.join(nearest, "component").where(F.col("away") + link + room >= F.col("nearest"))
+    asking = asking.select(F.col("component").alias("label"), F.size("v").alias("dim"), "cid", "v", "component", F.lit(LEAST).alias("reach"))
+    vectors = rows.select("cid", "v", "dim", F.col("component").alias("own"))
+    entries = near.join(vectors, F.col("a") == F.col("cid")).select(F.col("component").alias("label"), "dim", "cid", "v", F.col("own").alias("component"))
+    return spill(facing(spill(asking, "asking"), spill(entries, "entries")).select("a", "b"), "rest")
 
 
 def _core(batches):
@@ -294,9 +346,19 @@ def link_vectors(embeddings: DataFrame) -> DataFrame:
     found = spill(found.groupBy("a", "b").agg(F.sum("links").alias("links")), "found")
     links, degrees = found.where("a != b").select("a", "b"), found.where("a = b").select(F.col("a").alias("of"), F.col("links").alias("degree"))
     known = spill(components(links), "known")
-    more = spill(hub_links(known, degrees, copies), "more")
-    if not more.isEmpty():
-        known = spill(components(links.union(more)), "known")
+    rows_of = lambda known: spill(placed(known, copies), "placed")
+    placed_now = rows_of(known)
+    hubs = hubs_of(placed_now, degrees)
+    if not hubs.isEmpty():
+        more = spill(facing(hubs.withColumn("reach", F.lit(LEAST)), placed_now).select("a", "b"), "more")
+        if not more.isEmpty():
+            links = links.union(more)
+            known = spill(components(links), "known")
+            placed_now = rows_of(known)
+            hubs = hubs_of(placed_now, degrees)
+        rest = rest_links(placed_now, hubs)
+        if rest is not None and not rest.isEmpty():
+            known = spill(components(links.union(rest)), "known")
 
     counted = count_links(known, copies)
     least = known.join(copies, F.col("vertex") == F.col("cid")).groupBy("component").agg(F.min("low").alias("least"))

@@ -129,6 +129,23 @@ def test_one_large_star(spark):
     assert {r.vec_id: r.n_links for r in got} == dict(enumerate((close.sum(axis=1) - 1).tolist()))
 
 
+def test_overlapping_stars(spark):
+    """Linked centres in one component, each with more partners than windows hold: all belong to it, not the first one's only."""
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    aside = lambda c, cosine, n: cosine * c + np.sqrt(1 - cosine**2) * unit((a := rng.standard_normal((n, len(c)))) - (a @ c)[:, None] * c)
+    centres = [unit(rng.standard_normal(64))]
+    for _ in range(2):
+        centres.append(aside(centres[-1], 0.985, 1)[0])
+    v = np.concatenate([[c, *aside(c, 0.983, 1500)] for c in centres] + [unit(rng.standard_normal((500, 64)))])
+    close = v @ v.T >= 0.98
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)]
+    got = neardup_vec.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate((close.sum(axis=1) - 1).tolist()))
+    assert {r.vec_id for r in got if r.component_id == 0} == set(range(3 * 1501))
+    assert all(r.component_id == r.vec_id for r in got if r.vec_id >= 3 * 1501)
+
+
 def test_dense_cluster_needs_no_products(spark, monkeypatch):
     """Vectors in the core of a large component are counted, not multiplied."""
     rng = np.random.default_rng(2)
