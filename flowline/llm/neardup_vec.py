@@ -232,8 +232,7 @@ def rest_links(rows: DataFrame, hubs: DataFrame) -> DataFrame | None:
     largest x and the angle of a link of the hub matter, and only members that the nearest of these could link to.
     """
     link, room = math.acos(LEAST), 1e-6
-    salted = hubs.select(F.col("component").alias("of"), F.col("v").alias("hub"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    members = rows.join(salted, (F.col("component") == F.col("of")) & (F.pmod("cid", F.lit(SALTS)) == F.col("salt")))
+    members = salted_join(rows, hubs.select("component", F.col("v").alias("hub")))
     members = spill(members.select("component", "label", "cid", "v", "hub").mapInArrow(_away, "component long, label long, cid long, v array<double>, away double"), "away")
     reach = members.groupBy("component").agg(F.cos(F.least(F.max("away") + link + room, F.lit(math.pi))).alias("reach"))
     near = facing(hubs.join(reach, "component"), rows).join(hubs.select("cid", "component"), F.col("b") == F.col("cid"))
@@ -241,7 +240,7 @@ def rest_links(rows: DataFrame, hubs: DataFrame) -> DataFrame | None:
     if near.isEmpty():
         return None
     nearest = near.groupBy("component").agg(F.min("off").alias("nearest"))
-    asking = members.join(nearest, "component").where(F.col("away") + link + room >= F.col("nearest"))
+    asking = salted_join(members, nearest).where(F.col("away") + link + room >= F.col("nearest"))
     asking = asking.select(F.col("component").alias("label"), F.size("v").alias("dim"), "cid", "v", "component", F.lit(LEAST).alias("reach"))
     vectors = rows.select("cid", "v", "dim", F.col("component").alias("own"))
     entries = near.join(vectors, F.col("a") == F.col("cid")).select(F.col("component").alias("label"), "dim", "cid", "v", F.col("own").alias("component"))
@@ -306,17 +305,23 @@ def _count(batches):
     yield from done()
 
 
+def salted_join(rows: DataFrame, per: DataFrame, how: str = "inner") -> DataFrame:
+    """Join what ``per`` says of each component with its members, those of a large one in ``SALTS`` parts."""
+    salted = per.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod("cid", F.lit(SALTS)).cast("int")).join(salted, ["component", "salt"], how).drop("salt")
+
+
 def count_links(known: DataFrame, copies: DataFrame) -> DataFrame:
     """(vertex, component) and the vectors (cid, v, n) -> cid, links: other vectors of the component that each one links to."""
     member = known.join(copies, F.col("vertex") == F.col("cid")).select("component", "cid", "v", F.col("n").cast("double").alias("n"))
     sizes = known.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    member = spill(member.join(sizes, "component"), "members")
+    member = spill(salted_join(member, sizes), "members")
     large = member.where(F.col("size") > BLOCK).select("component", "n", "v").mapInArrow(_units, "component long, n double, v array<double>")
     mean = large.select("component", "n", F.posexplode("v").alias("at", "x")).groupBy("component", "at").agg(F.sum(F.col("n") * F.col("x")).alias("x"))
     mean = mean.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("m")).select("component", F.col("m.x").alias("mean"))  # one vector
-    member = spill(member.join(mean, "component", "left").mapInArrow(_core, "component long, cid long, v array<double>, n double, core boolean"), "cores")
+    member = spill(salted_join(member, mean, "left").mapInArrow(_core, "component long, cid long, v array<double>, n double, core boolean"), "cores")
     per = member.groupBy("component").agg(F.count(F.lit(1)).alias("all"), F.count(F.when(~F.col("core"), 1)).alias("asking"), F.sum(F.when(F.col("core"), F.col("n"))).alias("inside"))
-    rows = member.join(per, "component").withColumns({"x": F.xxhash64("cid", F.lit("b")), "parts": F.ceil(F.col("all") / BLOCK).cast("int"), "blocks": F.ceil(F.col("asking") / BLOCK).cast("int")})
+    rows = salted_join(member, per).withColumns({"x": F.xxhash64("cid", F.lit("b")), "parts": F.ceil(F.col("all") / BLOCK).cast("int"), "blocks": F.ceil(F.col("asking") / BLOCK).cast("int")})
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     share = lambda n: F.pmod("x", n).cast("int")
     own = ["component", "cid", "v", "n", "core"]
